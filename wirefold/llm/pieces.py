@@ -6,8 +6,8 @@ them until no pair is a piece.  Unknown characters fall back to byte pieces.
 
 Two adjacent characters that stand together in no piece can never be merged,
 so a text may be cut there.  With a vocabulary that has no piece with a blank
-mark after another character, and none with a line break, that makes words;
-each distinct one is encoded once per worker (a bounded memo) and the text's
+mark after another character, and none with a line break, that makes words
+(and cuts off punctuation that no piece has behind a letter); each distinct one is encoded once per worker (a bounded memo) and the text's
 ids are the joined ids of its words.  A vocabulary without that property is
 encoded over whole texts.  In every Arrow batch the new words are also given
 to the sentencepiece library; where it differed, its ids would be taken and
@@ -32,7 +32,11 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Distinct words that a worker remembers before it starts anew.
-MEMO = 150_000
+MEMO = 400_000
+
+#: Letters, and punctuation at which a word may be cut if no piece has a letter before it.
+LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
+PUNCTUATION = ".,;:!?|%&*$#()\"'-"
 
 
 class Vocabulary:
@@ -56,55 +60,59 @@ class Vocabulary:
             else:
                 self.scores[piece], self.ids[piece] = lib.get_score(i), i
                 self.shown.append(piece.replace(MARK, " "))
-        joined = [p for p in self.ids if len(p) > 1]
-        self.cuts_at_mark = not any(MARK in p.lstrip(MARK) for p in joined)
-        self.cuts_at_break = not any("\n" in p for p in joined)
-        if self.cuts_at_mark:
-            end = "\n" if self.cuts_at_break else ""
-            self.words = re.compile(rf"{MARK}*[^{MARK}{end}]+|{MARK}+|{end}" if end else rf"{MARK}*[^{MARK}]+|{MARK}+").findall
+        #: Pieces by falling score, as ranks: a smaller one merges first.
+        order = {score: r for r, score in enumerate(sorted(set(self.scores.values()), reverse=True))}
+        self.ranks = {p: order[score] for p, score in self.scores.items()}
+        pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.cuts = not any(x != MARK and y == MARK or "\n" in (x, y) for x, y in pairs)
+        letter = re.compile(LETTER)
+        after = "".join(c for c in PUNCTUATION if not any(y == c and letter.match(x) for x, y in pairs))
+        if self.cuts:
+            apart = f"{MARK}*{LETTER}+(?=[{re.escape(after)}])|" if after else ""
+            self.words = re.compile(rf"{apart}{MARK}*[^{MARK}\n]+|{MARK}+|\n").findall
         else:
             self.words = lambda text: [text]
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of a stretch of text in which blanks are marks already."""
-        whole = self.ids.get(word)
-        if whole is not None and len(word) == 1:
-            return [whole]
-        scores = self.scores
+        ranks = self.ranks
         symbols: list[str] = list(word)
         n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = []
+        agenda = []  # rank, then place, in one number
         for i in range(n - 1):
-            score = scores.get(symbols[i] + symbols[i + 1])
-            if score is not None:
-                agenda.append((-score, i, i + 1, 2))
-        heapq.heapify(agenda)
-        while agenda:
-            _, i, j, size = heapq.heappop(agenda)
-            left, right = symbols[i], symbols[j]
-            if not left or not right or len(left) + len(right) != size:
-                continue  # one of the two has been merged since
-            symbols[i], symbols[j] = left + right, ""
-            k = after[i] = after[j]
-            if k < n:
-                before[k] = i
-                made = symbols[i] + symbols[k]
-                score = scores.get(made)
-                if score is not None:
-                    heapq.heappush(agenda, (-score, i, k, len(made)))
-            h = before[i]
-            if h >= 0:
-                made = symbols[h] + symbols[i]
-                score = scores.get(made)
-                if score is not None:
-                    heapq.heappush(agenda, (-score, h, i, len(made)))
+            rank = ranks.get(symbols[i] + symbols[i + 1])
+            if rank is not None:
+                agenda.append(rank << 32 | i)
+        if agenda:
+            after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+            heapq.heapify(agenda)
+            while agenda:
+                top = heapq.heappop(agenda)
+                i = top & 0xFFFFFFFF
+                j = after[i]
+                if not symbols[i] or j >= n:
+                    continue
+                made = symbols[i] + symbols[j]
+                if ranks.get(made) != top >> 32:
+                    continue  # one of the two has been merged since
+                symbols[i], symbols[j] = made, ""
+                k = after[i] = after[j]
+                if k < n:
+                    before[k] = i
+                    rank = ranks.get(made + symbols[k])
+                    if rank is not None:
+                        heapq.heappush(agenda, rank << 32 | i)
+                h = before[i]
+                if h >= 0:
+                    rank = ranks.get(symbols[h] + made)
+                    if rank is not None:
+                        heapq.heappush(agenda, rank << 32 | h)
         out: list[int] = []
         for s in symbols:
             if s:
                 i = self.ids.get(s)
                 if i is None:
-                    out.extend(self.bytes[b] for b in s.encode())
+                    out.extend([self.bytes[b] for b in s.encode()])
                 else:
                     out.append(i)
         return out
@@ -130,12 +138,10 @@ class Vocabulary:
     def library_ids(self, words: list[str]) -> list[list[int]]:
         """The library's ids of words as they stand inside a text.
 
-        The library puts a mark in front of what it encodes: a word that has one
-        loses it, another one goes behind a line break, whose two ids are cut off.
+        The library puts a mark in front of what it encodes, so each word goes
+        behind a line break, and the ids of mark and break are cut off.
         """
-        given = [w[1:] if w[0] == MARK else "\n" + w for w in words]
-        out = self.library.encode(given, num_threads=1)
-        return [ids if w[0] == MARK else ids[2:] for w, ids in zip(words, out)]
+        return [ids[2:] for ids in self.library.encode(["\n" + w for w in words], num_threads=1)]
 
 
 @lru_cache(2)
@@ -164,8 +170,7 @@ class Encoder:
                 if len(memo) > MEMO:
                     memo.clear()
                     new = list(dict.fromkeys(words))
-                checkable = v.cuts_at_mark and v.cuts_at_break
-                theirs = v.library_ids(new) if checkable else [v.library.encode(t)]
+                theirs = v.library_ids(new) if v.cuts else [v.library.encode(t)]
                 for w, lib in zip(new, theirs):
                     ids = v.encode_word(w)
                     if ids != lib:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from wirefold.llm import quality_rules, url_filter
+from wirefold.llm import pieces, pii, quality_rules, token_counts, url_filter
 from wirefold.llm.common import read_table
 
 
 def queries() -> dict:
+    docs = lambda f: lambda spark, d: f(read_table(spark, d, "documents"))
     return {
+        "op1_pii": docs(pii.op1),
+        "op5_pieces": docs(pieces.op5),
+        "op7_token_counts": docs(token_counts.op7),
         "op9_url_filter": lambda spark, d: url_filter.op9(read_table(spark, d, "pages")),
-        "op10_quality_rules": lambda spark, d: quality_rules.op10(read_table(spark, d, "documents")),
+        "op10_quality_rules": docs(quality_rules.op10),
     }
 
 
