@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wirefold.llm import pieces, pii, quality_rules, token_counts, url_filter
+from wirefold.llm import pieces, pii, quality_rules, token_counts, toxicity, url_filter
 from wirefold.llm.common import read_table
 
 
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op1_pii": docs(pii.op1),
         "op5_pieces": docs(pieces.op5),
         "op7_token_counts": docs(token_counts.op7),
+        "op8_toxicity": lambda spark, d: toxicity.op8(read_table(spark, d, "documents"), read_table(spark, d, "labels")),
         "op9_url_filter": lambda spark, d: url_filter.op9(read_table(spark, d, "pages")),
         "op10_quality_rules": docs(quality_rules.op10),
     }
