@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wirefold.llm import pieces, pii, quality_rules, token_counts, toxicity, url_filter
+from wirefold.llm import pieces, pii, quality_rules, token_counts, toxicity, url_filter, warc
 from wirefold.llm.common import read_table
 
 
@@ -10,6 +10,7 @@ def queries() -> dict:
     docs = lambda f: lambda spark, d: f(read_table(spark, d, "documents"))
     return {
         "op1_pii": docs(pii.op1),
+        "op2_warc": lambda spark, d: warc.op2(read_table(spark, d, "pages")),
         "op5_pieces": docs(pieces.op5),
         "op7_token_counts": docs(token_counts.op7),
         "op8_toxicity": lambda spark, d: toxicity.op8(read_table(spark, d, "documents"), read_table(spark, d, "labels")),
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": quality_rules.OP10_SQL}
+    return {"op2_warc": warc.OP2_SQL, "op10_quality_rules": quality_rules.OP10_SQL}
