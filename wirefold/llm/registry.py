@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wirefold.llm import pieces, pii, quality_rules, token_counts, toxicity, url_filter, warc
+from wirefold.llm import decontam, pieces, pii, quality_rules, sharding, token_counts, toxicity, url_filter, warc
 from wirefold.llm.common import read_table
 
 
@@ -11,7 +11,9 @@ def queries() -> dict:
     return {
         "op1_pii": docs(pii.op1),
         "op2_warc": lambda spark, d: warc.op2(read_table(spark, d, "pages")),
+        "op3_template_decontamination": lambda spark, d: decontam.op3(read_table(spark, d, "documents"), read_table(spark, d, "benchmark")),
         "op5_pieces": docs(pieces.op5),
+        "op6_size_tiered_shards": docs(sharding.op6),
         "op7_token_counts": docs(token_counts.op7),
         "op8_toxicity": lambda spark, d: toxicity.op8(read_table(spark, d, "documents"), read_table(spark, d, "labels")),
         "op9_url_filter": lambda spark, d: url_filter.op9(read_table(spark, d, "pages")),
@@ -20,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.OP2_SQL, "op10_quality_rules": quality_rules.OP10_SQL}
+    return {"op2_warc": warc.OP2_SQL, "op6_size_tiered_shards": sharding.OP6_SQL, "op10_quality_rules": quality_rules.OP10_SQL}
