@@ -14,7 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 BLOCK_BYTES = 1 << 20
 
 
+#: Rows of an Arrow batch: whole texts, of which some are very long, must fit a worker's memory.
+BATCH_ROWS = 2000
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -150,7 +155,7 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> Iterator[np.ndarray]:
                 yield np.unique(grams[at : at + n - width + 1])
             elif n:
                 own = words[at : at + n]
-                yield mix((mix(own + _ROLE[:n]) * _ROLE[8 : 8 + n]).sum(keepdims=True) + _U(n) * _STEP)
+                yield mix((mix(own + _ROLE[:n]) * _ROLE[8 : 8 + n]).sum(keepdims=True) + _ROLE[n : n + 1])
             else:
                 yield np.empty(0, _U)
             at += n

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wirefold.llm import decontam, pieces, pii, quality_rules, sharding, token_counts, toxicity, url_filter, warc
+from wirefold.llm import decontam, jaccard_join, pieces, pii, quality_rules, sharding, token_counts, toxicity, url_filter, warc
 from wirefold.llm.common import read_table
 
 
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op1_pii": docs(pii.op1),
         "op2_warc": lambda spark, d: warc.op2(read_table(spark, d, "pages")),
         "op3_template_decontamination": lambda spark, d: decontam.op3(read_table(spark, d, "documents"), read_table(spark, d, "benchmark")),
+        "op4_jaccard_join": docs(jaccard_join.op4),
         "op5_pieces": docs(pieces.op5),
         "op6_size_tiered_shards": docs(sharding.op6),
         "op7_token_counts": docs(token_counts.op7),
