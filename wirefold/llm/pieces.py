@@ -26,6 +26,7 @@ import re
 from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -150,19 +151,19 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Encoder:
-    """Encodes batches of texts; remembers words."""
+    """Encodes batches of texts; remembers words.  ``pack`` makes what is kept and joined of a word's ids."""
 
-    def __init__(self, vocab: Vocabulary):
-        self.vocab = vocab
-        self.memo: dict[str, tuple[str, int, str]] = {}
+    def __init__(self, vocab: Vocabulary, pack: Callable[[list[int]], str | bytes], glue: str | bytes):
+        self.vocab, self.pack, self.glue = vocab, pack, glue
+        self.memo: dict[str, tuple[str | bytes, int, str]] = {}
 
     def batch(self, texts: list[str | None]):
-        """For each text (ids joined by commas, number of ids, decoded text); and words that the library encodes otherwise."""
-        v, memo = self.vocab, self.memo
+        """For each text (its packed ids, their number, the decoded text); and words that the library encodes otherwise."""
+        v, memo, pack, glue = self.vocab, self.memo, self.pack, self.glue
         out, differ = [], 0
         for t in texts:
             if not t:
-                out.append(("", 0, ""))
+                out.append((glue[:0], 0, ""))
                 continue
             words = v.words(MARK + t.replace(" ", MARK))
             new = [w for w in dict.fromkeys(words) if w not in memo]
@@ -176,13 +177,23 @@ class Encoder:
                     if ids != lib:
                         differ += 1
                         ids = lib
-                    memo[w] = ",".join(map(str, ids)), len(ids), v.decode_words(ids)
+                    memo[w] = pack(ids), len(ids), v.decode_words(ids)
             found = [memo[w] for w in words]
             text = "".join([x[2] for x in found])
-            out.append((",".join([x[0] for x in found]), sum([x[1] for x in found]), text[1:] if text[:1] == " " else text))
+            out.append((glue.join([x[0] for x in found]), sum([x[1] for x in found]), text[1:] if text[:1] == " " else text))
         return out, differ
 
 
+def as_text(vocab: Vocabulary) -> Encoder:
+    """Ids as decimal numbers joined by commas."""
+    return Encoder(vocab, lambda ids: ",".join(map(str, ids)), ",")
+
+
+def as_int32(vocab: Vocabulary) -> Encoder:
+    """Ids as bytes of 32-bit integers."""
+    return Encoder(vocab, lambda ids: np.array(ids, np.int32).tobytes(), b"")
+
+
 def _from_bytes(run: bytes) -> str:
     return run.decode("utf-8", "replace")
 
@@ -193,7 +204,7 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        encoder = Encoder(vocabulary(path))
+        encoder = as_text(vocabulary(path))
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
@@ -214,19 +225,22 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and the ids of every text as an array."""
+    """``key``, the ids of every text, their number, and whether they decode to the text (a blank mark in it decodes to a blank)."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        encoder = Encoder(vocabulary(path))
+        encoder = as_int32(vocabulary(path))
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                rows, _ = encoder.batch(part.column(1).to_pylist())
-                ids = [[int(i) for i in r[0].split(",")] if r[1] else [] for r in rows]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], [key, "ids"])
-
-    return docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+                texts = part.column(1).to_pylist()
+                rows, _ = encoder.batch(texts)
+                ends = np.cumsum([0, *(r[1] for r in rows)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(ends, np.frombuffer(b"".join([r[0] for r in rows]), np.int32))
+                back = [r[2] == (t or "").replace(MARK, " ") for r, t in zip(rows, texts)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r[1] for r in rows], pa.int64()), ids, pa.array(back, pa.bool_())], [key, "n_tokens", "ids", "decodes"])
+
+    return docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids array<int>, decodes boolean")
 
 
 def default_path() -> str:

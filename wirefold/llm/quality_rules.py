@@ -129,6 +129,14 @@ def apply_policy(book: DataFrame, version: int = CURRENT) -> DataFrame:
     )
 
 
+def kept_documents(docs: DataFrame, version: int = CURRENT, text: str = "text") -> DataFrame:
+    """The documents that a policy keeps, all columns as they were."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(text).alias("_body"))
+    # the row number keeps the filter above the ledger: pushed below, it would repeat the ledger's expressions in itself
+    book = apply_policy(ledger(rows, "_doc", "_body"), version).withColumn("_row", F.monotonically_increasing_id())
+    return book.where(F.col("kept") & (F.col("_row") >= 0)).select("_doc.*")
+
+
 def ablate(book: DataFrame, version: int = CURRENT) -> DataFrame:
     """For each rule of a policy: documents that fail it, and those kept if it alone were dropped.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from wirefold.llm import decontam, jaccard_join, pieces, pii, quality_rules, sharding, token_counts, toxicity, url_filter, warc
 from wirefold.llm.common import read_table
 
@@ -9,6 +10,7 @@ from wirefold.llm.common import read_table
 def queries() -> dict:
     docs = lambda f: lambda spark, d: f(read_table(spark, d, "documents"))
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_pii": docs(pii.op1),
         "op2_warc": lambda spark, d: warc.op2(read_table(spark, d, "pages")),
         "op3_template_decontamination": lambda spark, d: decontam.op3(read_table(spark, d, "documents"), read_table(spark, d, "benchmark")),
