@@ -1 +1,191 @@
-"""Part of wirefold."""
+"""from_protobuf and to_protobuf: columns of messages to structs and back."""
+
+from __future__ import annotations
+
+import threading
+from collections.abc import Callable, Iterable, Mapping
+from dataclasses import dataclass, field
+
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from wirefold import errors
+from wirefold.operators import encode, runtime, wire
+from wirefold.options import Options
+from wirefold.plans.prune import check_paths, prune_schema
+from wirefold.plans.schema import schema_of
+from wirefold.sources.descriptors import Source, descriptor_of, resolve
+
+PRUNING = "spark.sql.protobuf.nestedSchemaPruning.enabled"
+#: Which dialect each kind of descriptor source decodes in.
+DIALECTS = {"binary": "wire", "file": "typed", "class": "generated"}
+
+
+def _pruning_enabled() -> bool:
+    session = SparkSession.getActiveSession()
+    return session is None or session.conf.get(PRUNING, "true").lower() != "false"
+
+
+@dataclass
+class Decoder:
+    """A decode of one message type: schema on the driver, work on the executors.
+
+    Only the descriptor's bytes, the schema and the options travel.  Parsers
+    are made once for each Python worker.
+    """
+
+    source: Source
+    dialect: str
+    options: Options = field(default_factory=Options)
+    fields: tuple[str, ...] | None = None
+
+    def __post_init__(self):
+        self.full_schema = schema_of(self.source.descriptor, self.dialect, self.options)
+        self.pruned_schema: T.StructType | None = None
+        if self.fields is not None:
+            check_paths(self.full_schema, self.fields)
+            if self.dialect == "wire" and _pruning_enabled():
+                self.pruned_schema = prune_schema(self.full_schema, self.fields)
+
+    @property
+    def schema(self) -> T.StructType:
+        return self.full_schema if self.pruned_schema is None else self.pruned_schema
+
+    def function(self) -> Callable[[pa.Array], pa.Array]:
+        """What runs on a column of message bytes."""
+        files, name, dialect, options, schema = self.source.files, self.source.name, self.dialect, self.options, self.schema
+        key = (files, name, dialect, options, schema.json())
+
+        def run(column: pa.Array) -> pa.Array:
+            return _parser(key, schema)(column)
+
+        return run
+
+    def udf(self, deterministic: bool = False):
+        """An Arrow UDF; a fresh one each time, as marking changes the object.
+
+        Not deterministic for the optimizer, so that a filter and a projection
+        over one decode do not run it twice.
+        """
+        run = self.function()
+
+        def from_protobuf(column: pa.Array) -> pa.Array:
+            return run(column)
+
+        out = F.arrow_udf(from_protobuf, self.schema)
+        return out if deterministic else out.asNondeterministic()
+
+    def __call__(self, data: Column | str, deterministic: bool = False) -> Column:
+        return self.udf(deterministic)(_column(data))
+
+
+_local = threading.local()
+
+
+def _parser(key: tuple, schema: T.StructType) -> Callable[[pa.Array], pa.Array]:
+    """The parser for a key, made once in each worker thread."""
+    made = _local.__dict__.setdefault("parsers", {})
+    if key not in made:
+        files, name, dialect, options, _ = key
+        descriptor = descriptor_of(files, name)
+        if dialect == "wire":
+            node = wire.plan(descriptor, schema)
+            made[key] = lambda column: wire.decode_column(column, node, options.permissive)
+        else:
+            decode = runtime.row_decoder(descriptor, schema, dialect, options.permissive)
+            made[key] = lambda column: runtime.decode_column(column, schema, decode)
+    return made[key]
+
+
+def _column(data: Column | str) -> Column:
+    return F.col(data) if isinstance(data, str) else data
+
+
+def _source(messageType, descFilePath, binaryDescriptorSet, messageName) -> Source:
+    message = messageType if messageType is not None else messageName
+    if message is None:
+        raise errors.too_few_arguments("from_protobuf")
+    return resolve(message, descFilePath, binaryDescriptorSet)
+
+
+def decoder(
+    messageType=None,
+    descFilePath: str | bytes | None = None,
+    options: Mapping[str, str] | None = None,
+    binaryDescriptorSet: bytes | None = None,
+    *,
+    messageName=None,
+    fields: Iterable[str] | None = None,
+    dialect: str | None = None,
+) -> Decoder:
+    source = _source(messageType, descFilePath, binaryDescriptorSet, messageName)
+    if dialect is None:
+        dialect = DIALECTS[source.kind]
+    elif dialect not in DIALECTS.values():
+        raise errors.IllegalArgument(f"Unknown dialect '{dialect}'; known: {', '.join(DIALECTS.values())}")
+    return Decoder(source, dialect, Options.of(options), None if fields is None else tuple(fields))
+
+
+def from_protobuf(
+    data: Column | str,
+    messageType=None,
+    descFilePath: str | bytes | None = None,
+    options: Mapping[str, str] | None = None,
+    binaryDescriptorSet: bytes | None = None,
+    *,
+    messageName=None,
+    fields: Iterable[str] | None = None,
+    dialect: str | None = None,
+    deterministic: bool = False,
+) -> Column:
+    """Decode a binary column of messages to a struct.
+
+    The descriptor is, in this order: ``binaryDescriptorSet`` (dialect "wire"),
+    ``descFilePath`` (a file, dialect "typed"; bytes there are a descriptor
+    set), or a generated Python class or its dotted path in ``messageType``
+    (dialect "generated").  ``fields`` lists dotted paths; with the "wire"
+    dialect only these are decoded, and the struct holds no others.
+    """
+    made = decoder(messageType, descFilePath, options, binaryDescriptorSet, messageName=messageName, fields=fields, dialect=dialect)
+    return made(data, deterministic)
+
+
+def _encode(column: pa.Array, files: bytes, name: str, strict: bool, case_sensitive: bool) -> pa.Array:
+    """Encode a column with an encoder that is made once in each worker thread."""
+    made = _local.__dict__.setdefault("encoders", {})
+    key = (files, name, str(column.type), strict, case_sensitive)
+    if key not in made:
+        made[key] = encode.Encoder(descriptor_of(files, name), column.type, case_sensitive, strict)
+    return made[key].column(column)
+
+
+def encoder_udf(source: Source, strict: bool = False, case_sensitive: bool = False):
+    files, name = source.files, source.name
+
+    def to_protobuf(column: pa.Array) -> pa.Array:
+        return _encode(column, files, name, strict, case_sensitive)
+
+    return F.arrow_udf(to_protobuf, T.BinaryType())
+
+
+def to_protobuf(
+    data: Column | str,
+    messageType=None,
+    descFilePath: str | bytes | None = None,
+    options: Mapping[str, str] | None = None,
+    binaryDescriptorSet: bytes | None = None,
+    *,
+    messageName=None,
+    strict: bool = False,
+) -> Column:
+    """Encode a struct column as messages.
+
+    Fields are matched by name, case-sensitively if spark.sql.caseSensitive
+    says so.  Options are accepted and not used.  ``strict`` rejects numbers
+    for enum fields.
+    """
+    session = SparkSession.getActiveSession()
+    sensitive = session is not None and session.conf.get("spark.sql.caseSensitive", "false").lower() == "true"
+    return encoder_udf(_source(messageType, descFilePath, binaryDescriptorSet, messageName), strict, sensitive)(_column(data))

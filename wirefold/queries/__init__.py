@@ -1,4 +1,6 @@
-"""Registered queries over decoded messages, and their oracles."""
+"""Registered queries over decoded messages, and the SQL that gives the same from the raw tables."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from wirefold.queries import codec, relational, schemas
+from wirefold.queries.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "codec", "relational", "schemas"]

@@ -1 +1,57 @@
-"""Part of wirefold."""
+"""Messages in Structured Streaming.
+
+Decoding is a stateless projection, so a decoded stream is an ordinary stream:
+watermarks, windows, joins and state are Spark's own.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from wirefold.functions import from_protobuf, to_protobuf
+
+
+def decode_stream(stream: DataFrame, data: str, messageType=None, descFilePath=None, options: Mapping[str, str] | None = None, binaryDescriptorSet: bytes | None = None, *, name: str = "proto", fields=None) -> DataFrame:
+    """The stream with its messages as a struct in place of the bytes."""
+    made = from_protobuf(F.col(data), messageType, descFilePath, options, binaryDescriptorSet, fields=fields)
+    return stream.select(*[F.col(f"`{c}`") for c in stream.columns if c != data], made.alias(name))
+
+
+def encode_stream(stream: DataFrame, struct: Column, messageType=None, descFilePath=None, binaryDescriptorSet: bytes | None = None, *, name: str = "data") -> DataFrame:
+    """The stream's structs as messages, for a sink that takes bytes."""
+    return stream.select(to_protobuf(struct, messageType, descFilePath, None, binaryDescriptorSet).alias(name))
+
+
+def windowed(stream: DataFrame, time: str, width: str, *keys: str, slide: str | None = None, late: str = "10 minutes", **aggregates: Column) -> DataFrame:
+    """Tumbling or sliding window aggregates with a watermark; columns window_start, keys, aggregates."""
+    frame = F.window(F.col(time), width, slide) if slide else F.window(F.col(time), width)
+    marked = stream.withWatermark(time, late)
+    grouped = marked.groupBy(frame.alias("w"), *keys).agg(*[c.alias(n) for n, c in aggregates.items()])
+    return grouped.select(F.col("w.start").alias("window_start"), *keys, *aggregates)
+
+
+def sessions(stream: DataFrame, time: str, gap: str, *keys: str, late: str = "10 minutes", **aggregates: Column) -> DataFrame:
+    """Session window aggregates with a watermark; columns session_start, session_end, keys, aggregates."""
+    grouped = stream.withWatermark(time, late).groupBy(F.session_window(F.col(time), gap).alias("w"), *keys).agg(*[c.alias(n) for n, c in aggregates.items()])
+    return grouped.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *keys, *aggregates)
+
+
+def drain(query: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """Run a stream over all that is there now, and return what it wrote.
+
+    In "append" mode the sink is Parquet in ``folder``; in "complete" mode each
+    batch replaces it.  The checkpoint lies beside it.
+    """
+    spark = query.sparkSession
+    schema = query.schema
+    writer = query.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint")
+    if mode == "append":
+        run: StreamingQuery = writer.format("parquet").outputMode("append").start(f"{folder}/out")
+    else:
+        run = writer.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/out")).start()
+    run.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{folder}/out")
