@@ -1,7 +1,8 @@
 """Toxicity: a linear classifier with a counterfactual penalty.
 
-Labelled sentences that mention a group get a twin in which the mention is
-swapped for another group's.  Training minimises log loss plus
+Labelled sentences that mention a group get twins in which the mention is
+swapped for another group's and for none (or else a term that the labels lack
+could take over the bias of one that they have).  Training minimises log loss plus
 ``SWAP_PENALTY`` x (difference of the two logits)^2 plus an L2 term, so a
 neutral mention of a group does not move the score.
 
@@ -73,15 +74,12 @@ def _distinct(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def swapped(text: bytes) -> bytes | None:
-    """The text with each identity term replaced by the next of its group; None if it has none."""
-    changed = False
-    out = []
-    for w in text.split():
-        twin = _TWINS.get(w)
-        changed |= twin is not None
-        out.append(twin or w)
-    return b" ".join(out) if changed else None
+def swapped(text: bytes) -> list[bytes]:
+    """Twins of a text that mentions a group: each term replaced by the next of its group, and left out."""
+    words = text.split()
+    if not any(w in _TWINS for w in words):
+        return []
+    return [b" ".join(_TWINS.get(w, w) for w in words), b" ".join(w for w in words if w not in _TWINS)]
 
 
 _TWINS = {g[i].encode(): g[(i + 1) % len(g)].encode() for g in GROUPS for i in range(len(g))}
@@ -135,7 +133,7 @@ def fit_words(seen: list[bytes], labels: list[int]) -> Model:
     apart = (z >= MIN_Z) & (c1 + c0 >= MIN_TEXTS)
     keep = apart[cols]
     cols, at = cols[keep], at[keep]
-    pairs = [(r, t) for r, text in zip(rows, seen) if (t := swapped(text)) is not None]
+    pairs = [(r, t) for r, text in zip(rows, seen) for t in swapped(text)]
     # the difference of a text and its twin, as signed entries
     twins = _distinct([t for _, t in pairs])
     diffs = [(np.setdiff1d(r, q), np.setdiff1d(q, r)) for (r, _), q in zip(pairs, twins)]
