@@ -91,7 +91,11 @@ def _repeats(df: DataFrame) -> DataFrame:
         F.lit(0).cast("long"),
         lambda total, n: total + n,
     )
-    return df.withColumn("n_repeat_words", F.when(F.col("_twice") & (F.size("_at") > 0), covered).otherwise(F.lit(0).cast("long")))
+    df = df.withColumn("_covered", F.when(F.col("_twice") & (F.size("_at") > 0), covered).otherwise(F.lit(0).cast("long")))
+    # The row number keeps the optimizer from copying these expressions into filters on the result (it does not move
+    # filters below a column that is not deterministic); copies would repeat one another many times over.
+    df = df.withColumn("_row", F.monotonically_increasing_id())
+    return df.withColumn("n_repeat_words", F.when(F.col("_row") >= 0, F.col("_covered")))
 
 
 def _without(text: str, chars: str) -> Column:
@@ -132,9 +136,7 @@ def apply_policy(book: DataFrame, version: int = CURRENT) -> DataFrame:
 def kept_documents(docs: DataFrame, version: int = CURRENT, text: str = "text") -> DataFrame:
     """The documents that a policy keeps, all columns as they were."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(text).alias("_body"))
-    # the row number keeps the filter above the ledger: pushed below, it would repeat the ledger's expressions in itself
-    book = apply_policy(ledger(rows, "_doc", "_body"), version).withColumn("_row", F.monotonically_increasing_id())
-    return book.where(F.col("kept") & (F.col("_row") >= 0)).select("_doc.*")
+    return apply_policy(ledger(rows, "_doc", "_body"), version).where("kept").select("_doc.*")
 
 
 def ablate(book: DataFrame, version: int = CURRENT) -> DataFrame:
