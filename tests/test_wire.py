@@ -116,9 +116,11 @@ def test_other_wire_types_and_unknown_fields_are_skipped():
     unknown = b"\xb8\x3e\x05" + b"\xb9\x3e" + b"x" * 8 + b"\xbd\x3e" + b"x" * 4 + b"\xba\x3e\x03abc" + b"\xbb\x3e\x08\x01\x13\x14\xbc\x3e"
     row = decoded("Prims", unknown + b"\x70\x05\x08\x09")[0]
     assert row["string_field"] is None and row["int32_field"] == 9
+    # groups are skipped, known number or not, and so is the end of none
+    assert decoded("Prims", b"\x0b\x08\x05\x0c\x10\x07\x0c")[0]["int64_field"] == 7
 
 
-@pytest.mark.parametrize("raw", [b"\xff\xff\xff", b"\x72\x05ab", b"\x08", b"\x00\x01", b"\x0c", b"\x09\x01\x02", b"\x0e", b"\x08" + b"\xff" * 11])
+@pytest.mark.parametrize("raw", [b"\xff\xff\xff", b"\x72\x05ab", b"\x08", b"\x00\x01", b"\x0b\x08\x01", b"\x0b\x14", b"\x09\x01\x02", b"\x0e", b"\x08" + b"\xff" * 11])
 def test_malformed(raw):
     with pytest.raises(errors.MalformedMessage, match="Malformed Protobuf message detected during parsing"):
         decoded("Prims", raw)

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from wirefold import errors
 from wirefold.operators import encode, runtime, wire
 from wirefold.options import Options
-from wirefold.plans.prune import check_paths, prune_schema
+from wirefold.plans.prune import check_paths, prune_schema, required_paths
 from wirefold.plans.schema import schema_of
 from wirefold.sources.descriptors import Source, descriptor_of, resolve
 
@@ -53,6 +53,14 @@ class Decoder:
     def schema(self) -> T.StructType:
         return self.full_schema if self.pruned_schema is None else self.pruned_schema
 
+    def explain(self) -> str:
+        """What is decoded, for reading: source, dialect, schema, and the fields that pruning left out."""
+        lines = [f"{self.source.name} ({self.source.kind} descriptor, {self.dialect} dialect, mode {self.options.mode})", self.schema.treeString().rstrip()]
+        if self.pruned_schema is not None:
+            left = sorted(set(required_paths(self.full_schema)) - set(required_paths(self.pruned_schema)))
+            lines.append(f"not decoded: {', '.join(left) or 'nothing'}")
+        return "\n".join(lines)
+
     def function(self) -> Callable[[pa.Array], pa.Array]:
         """What runs on a column of message bytes."""
         files, name, dialect, options, schema = self.source.files, self.source.name, self.dialect, self.options, self.schema

@@ -11,7 +11,7 @@ are finished one by one.
 Semantics: a field is null iff it is absent; the last occurrence of a singular
 field wins, messages are not merged; packed and unpacked forms are accepted for
 every packable repeated field; a field of another wire type than declared, and
-an unknown field, is skipped; enums are numbers, unsigned numbers keep their
+an unknown field or a group, is skipped; enums are numbers, unsigned numbers keep their
 bits; strings are taken as they are; an absent repeated field is null.
 """
 
@@ -70,7 +70,6 @@ class Node:
     """A message type as far as a schema asks for it."""
 
     fields: list[Field]
-    groups: frozenset[int] = frozenset()
     by_number: dict[int, int] = field(default_factory=dict)
     arrow: pa.StructType | None = None
 
@@ -91,7 +90,7 @@ def plan(descriptor: Descriptor, schema: T.StructType) -> Node:
         f = Field(s.name, d.number, d.type, _WIRE_TYPE[d.type], d.is_repeated, child.arrow if child else to_arrow_type(kind), child)
         f.key_default = descriptor.GetOptions().map_entry and d.name == "key"
         out.append(f)
-    node = Node(out, frozenset(d.number for d in descriptor.fields if d.type == F.TYPE_GROUP))
+    node = Node(out)
     node.arrow = pa.struct([pa.field(f.name, pa.list_(f.arrow) if f.repeated else f.arrow) for f in out])
     return node
 
@@ -216,11 +215,12 @@ class _Level:
         number, wire = tag >> 3, tag & 7
         end = self.end[rows]
         index = self.node.by_number.get(number)
-        if number == 0 or wire > FIXED32 or wire == END:
+        if number == 0 or wire > FIXED32:
             self.bad[rows] = True
             return
-        if number in self.node.groups:
-            raise NotImplementedError("GROUP fields are not supported")
+        if wire == END:  # the end of no group is skipped
+            self.pos[rows] = at
+            return
         if wire == VARINT:
             value, after, good = read_varints(self.buf, at, end)
             stop = None
