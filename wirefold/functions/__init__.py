@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wirefold import errors
-from wirefold.operators import encode, runtime, wire
+from wirefold.operators import encode, typed, wire
 from wirefold.options import Options
 from wirefold.plans.prune import check_paths, prune_schema, required_paths
 from wirefold.plans.schema import schema_of
@@ -102,8 +102,7 @@ def _parser(key: tuple, schema: T.StructType) -> Callable[[pa.Array], pa.Array]:
             node = wire.plan(descriptor, schema)
             made[key] = lambda column: wire.decode_column(column, node, options.permissive)
         else:
-            decode = runtime.row_decoder(descriptor, schema, dialect, options.permissive)
-            made[key] = lambda column: runtime.decode_column(column, schema, decode)
+            made[key] = typed.column_decoder(descriptor, schema, dialect, options.permissive)
     return made[key]
 
 

@@ -261,6 +261,11 @@ class _Level:
                 self.put(index, f, rows, value, stop)
         elif wire == BYTES and f.packable:
             self.packed(index, f, rows, value, stop)
+        else:
+            self.mismatch(rows)
+
+    def mismatch(self, rows: np.ndarray) -> None:
+        """A known field has another wire type than declared: it is skipped."""
 
     def fixed(self, at: np.ndarray, width: int) -> np.ndarray:
         raw = self.buf[at[:, None] + np.arange(width)]
