@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -54,6 +55,11 @@ class Scratch:
         for name in names:
             self._fs.delete(self._path(self.path(name)), True)
 
+    def release(self) -> None:
+        """Let Spark delete shuffle files of finished steps now, not when the driver next happens to collect garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def _close(self) -> None:
         try:
             self._fs.delete(self._path(self.root), True)

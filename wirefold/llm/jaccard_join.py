@@ -16,7 +16,7 @@ common shingles cancel, each differing one touches one cell.
   meet one of the partner's first segments.  These are the join keys.
 
 The shared order puts segments that very many documents have (a licence line,
-a quoted passage) last.  They are counted over all documents in a table of
+a quoted passage) last, the commonest ones very last.  They are counted over all documents in a table of
 fixed size; the order need only be the same for all, so collisions in that
 table cost nothing but speed.  Bands are four sizes wide; a document near its
 band's upper end is also entered in the next band, so every admissible pair
@@ -28,12 +28,13 @@ the same is done again after the shuffle.  So a hot key sends a row for each
 task.  These star pairs are checked (sketch, then texts) and linked documents
 form components.  Where a key's documents lie in several components after that,
 the remaining pairs across components are checked too: all pairs of a document
-outside the key's largest component with the key's documents in others.  Pairs
+outside the key's largest component with the key's documents in others (after
+rounds with a few of them, if the pairs are many).  Pairs
 within a component need no check, so no link between different components is
 lost and the components are exact.
 
 Every step that follows the shuffle of keys is an equi-join of written tables
-or a partial aggregation; nothing is collected but a bitmap of fixed size.
+or a partial aggregation; nothing is collected but tables of fixed size (levels, a bitmap).
 
 Edge cases: null, empty or blank texts have the empty set and link with
 nothing; fewer than ``WIDTH`` words make one shingle; rows with the same doc_id
@@ -64,10 +65,19 @@ CHUNK = 1 << 16
 #: A segment is common if its counter exceeds this and four times the mean.
 COMMON = 64
 #: Keys that a task holds before it pairs and sends them.
-HELD_KEYS = 1 << 21
+HELD_KEYS = 1 << 19
 #: Bits of the filter that finds the texts of candidate pairs.
 FILTER_BITS = 1 << 23
 
+#: Pairs across components are checked at once if they are at most so many times the rows of their keys, or
+#: if a round with a few of them has linked less than this share of the documents outside the largest components.
+MANY = 4
+FRUITFUL = 0.05
+#: Links up to this number (four megabytes) are joined to components in one task, more by rounds of joins.
+FEW_LINKS = 1 << 18
+#: Rows of an Arrow batch of pairs of texts.
+PAIR_ROWS = 256
+
 _U = np.uint64
 
 
@@ -125,23 +135,38 @@ def quota(size: int) -> int:
     return size // 4 + 1
 
 
-def chosen(parities: np.ndarray, size: int, band: int, common: np.ndarray) -> np.ndarray:
-    """The first segments in the shared order: rare before common, then by value."""
+def chosen(parities: np.ndarray, size: int, band: int, levels: np.ndarray) -> np.ndarray:
+    """The first segments in the shared order: by level of frequency, then by value."""
     need = quota(size)
     if len(parities) < need:
         # fewer segments than the pigeonhole needs: such sets also meet one another
         return np.append(parities, mix(np.array([0xDEF0 + band], _U)))
-    bit = parities % _U(COUNTERS)
-    hot = (common[(bit >> _U(3)).astype(np.int64)] >> (bit & _U(7)).astype(np.uint8)) & 1 == 1
-    rare = parities[~hot]
-    if len(rare) >= need:
-        return np.partition(rare, need - 1)[:need]
-    return np.concatenate([rare, np.partition(parities[hot], need - len(rare) - 1)[: need - len(rare)]])
+    level = levels[(parities % _U(COUNTERS)).astype(np.int64)]
+    if not level.any():
+        return np.partition(parities, need - 1)[:need]
+    return parities[np.lexsort((parities, level))[:need]]
 
 
 # --- first pass: sets, sketches, segment counts ------------------------------
 
-_PROFILE = "id long, n_shingles long, same binary, sketch binary, chunk int, counts binary"
+#: A second sketch of one-bit cells, the same size for all sets, as words of 64 bits that SQL can compare.
+FOLDS = [f"f{i}" for i in range(8)]
+_PROFILE = f"id long, n_shingles long, same binary, sketch binary, chunk int, counts binary, {', '.join(f'{f} long' for f in FOLDS)}"
+_PROFILE_NAMES = ["id", "n_shingles", "same", "sketch", "chunk", "counts", *FOLDS]
+
+
+def fold(shingles: np.ndarray) -> np.ndarray:
+    """Parity sketch of 512 cells as eight words."""
+    cells = 64 * len(FOLDS)
+    odd = np.bincount((shingles & _U(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def near(x: str, y: str):
+    """Condition that the sizes and folds of two sides allow a link."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    apart = sum((F.bit_count(F.col(f"{x}.{f}").bitwiseXOR(F.col(f"{y}.{f}"))) for f in FOLDS), F.lit(0))
+    return (100 * F.least(n, m) >= SIMILAR * F.greatest(n, m)) & (apart * (100 + SIMILAR) <= (100 - SIMILAR) * (n + m))
 
 
 def _profile(batches):
@@ -150,12 +175,13 @@ def _profile(batches):
     any_set = False
     for b in batches:
         for lo, hi, texts in _parts(b):
-            sizes, sames, sketches = [], [], []
+            sizes, sames, sketches, folds = [], [], [], []
             for s in shingle_sets(texts, WIDTH):
                 sizes.append(len(s))
                 same = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                 sames.append(same)
                 sketches.append(parity_bits(s) if len(s) else None)
+                folds.append(fold(s))
                 if same is not None and same not in seen:
                     seen.add(same)
                     any_set = True
@@ -163,15 +189,15 @@ def _profile(batches):
                         np.add.at(counters, (segments(s, band, number) % _U(COUNTERS)).astype(np.int64), 1)
             n = hi - lo
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).slice(lo, n), pa.array(sizes, pa.int64()), pa.array(sames, pa.binary()), pa.array(sketches, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                ["id", "n_shingles", "same", "sketch", "chunk", "counts"],
+                [b.column(0).slice(lo, n), pa.array(sizes, pa.int64()), pa.array(sames, pa.binary()), pa.array(sketches, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *(pa.array(f) for f in np.array(folds, np.int64).reshape(n, len(FOLDS)).T)],
+                _PROFILE_NAMES,
             )
     if any_set:
         parts = [(i, zlib.compress(np.minimum(counters[i * CHUNK : (i + 1) * CHUNK], 65535).astype(np.uint16).tobytes(), 1)) for i in range(COUNTERS // CHUNK)]
         n = len(parts)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())],
-            ["id", "n_shingles", "same", "sketch", "chunk", "counts"],
+            [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary()), *(pa.nulls(n, pa.int64()) for _ in FOLDS)],
+            _PROFILE_NAMES,
         )
 
 
@@ -182,8 +208,8 @@ def _parts(batch):
         yield lo, hi, texts[lo:hi]
 
 
-def _common(profile: DataFrame) -> np.ndarray:
-    """Bitmap of the counters of common segments; a few hundred kilobytes, whatever the input."""
+def _levels(profile: DataFrame) -> np.ndarray:
+    """Of each counter 0 if it is not common, else how many times it doubles what is; one byte each, whatever the input."""
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -192,13 +218,14 @@ def _common(profile: DataFrame) -> np.ndarray:
                 own = np.frombuffer(zlib.decompress(raw), np.uint16)
                 sums[chunk] = sums[chunk] + own if chunk in sums else own.astype(np.uint64)
         for chunk, total in sums.items():
-            bits = total > max(COMMON, 4 * total.mean())
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["chunk", "bits"])
+            level = np.log2(np.maximum(total / max(COMMON, 4 * total.mean()), 0.5)) + 1
+            packed = zlib.compress(np.minimum(np.ceil(level), 40).astype(np.uint8).tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([packed], pa.binary())], ["chunk", "levels"])
 
     counts = profile.where("chunk is not null").select("chunk", "counts").repartition(COUNTERS // CHUNK, "chunk")
-    out = np.zeros(COUNTERS // 8, np.uint8)
-    for r in counts.mapInArrow(add, "chunk int, bits binary").toLocalIterator():
-        out[r[0] * CHUNK // 8 : (r[0] + 1) * CHUNK // 8] = np.frombuffer(r[1], np.uint8)
+    out = np.zeros(COUNTERS, np.uint8)
+    for r in counts.mapInArrow(add, "chunk int, levels binary").toLocalIterator():
+        out[r[0] * CHUNK : (r[0] + 1) * CHUNK] = np.frombuffer(zlib.decompress(r[1]), np.uint8)
     return out
 
 
@@ -228,9 +255,9 @@ def _sized(keys, a, b=None, step: int = 1 << 16):
         yield _batch(keys[lo : lo + step], a[lo : lo + step], None if b is None else b[lo : lo + step])
 
 
-def _keys_of(common_packed: bytes):
+def _keys_of(packed: bytes):
     def run(batches):
-        common = np.frombuffer(zlib.decompress(common_packed), np.uint8)
+        levels = np.frombuffer(zlib.decompress(packed), np.uint8)
         held_keys: list[np.ndarray] = []
         held_ids: list[np.ndarray] = []
         copies: dict[bytes, int] = {}
@@ -256,7 +283,7 @@ def _keys_of(common_packed: bytes):
                         twins.append((other, who))
                         continue
                     for band, number in bands(len(s)):
-                        own = chosen(segments(s, band, number), len(s), band, common)
+                        own = chosen(segments(s, band, number), len(s), band, levels)
                         held_keys.append(own)
                         held_ids.append(np.full(len(own), who, np.int64))
                         held += len(own)
@@ -339,23 +366,25 @@ class Join:
         """(id, n_shingles) of every row, and (id, comp) of documents that are not their group's smallest id."""
         keep = self.scratch.keep
         table = keep(self.docs.mapInArrow(_profile, _PROFILE), "profile")
-        profile = table.where("chunk is null").select("id", "n_shingles", "same", "sketch")
+        profile = table.where("chunk is null").drop("chunk", "counts")
         self.sets = profile.where("id is not null and n_shingles > 0")
-        packed = zlib.compress(_common(table).tobytes(), 1)
+        packed = zlib.compress(_levels(table).tobytes(), 1)
         keys = self.docs.mapInArrow(_keys_of(packed), _KEYS)
         # rows of a key meet, ready pairs go anywhere
         spread = F.xxhash64("key", F.coalesce("b", F.lit(0)))
         stars = keys.repartition(spread).sortWithinPartitions("key", "a").mapInArrow(_stars, _KEYS)
         stars = keep(stars, "stars")
+        del keys
+        self.scratch.release()
+        # equal sets need no check; later they count once
+        equal = keep(self.sets.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("same", "rep"), "equal")
+        self.copies = keep(self.sets.select("same", "id").join(equal, "same").where("id <> rep").select("id", "rep"), "copies")
         pairs = keep(stars.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).select("a", "b"), "pairs")
         linked, checked = self.check(pairs, "first")
+        linked = linked.unionByName(self.copies.select(F.col("rep").alias("a"), F.col("id").alias("b")))
         comps = components(linked, self.scratch, "first")
-        rest = self.across(stars, checked, comps)
-        if rest is not None:
-            more, _ = self.check(rest, "second")
-            if not more.isEmpty():
-                comps = components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more), self.scratch, "second")
-        self.scratch.drop("stars", "pairs", "first-checked", "first-texts", "second-checked", "second-texts")
+        comps = self.across(stars, checked, comps)
+        self.scratch.drop("stars", "pairs")
         return profile.select("id", "n_shingles"), comps
 
     def check(self, pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
@@ -372,7 +401,14 @@ class Join:
             side = lambda c: texts.select(F.col("id").alias(c), F.col("packed").alias(f"t{c}"))
             met = opened.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb")
             links = links.unionByName(met.mapInArrow(_text_check, "a long, b long"))
-        return keep(links.distinct(), f"{name}-links"), checked
+        conf, rows = self.docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = conf.get(rows)
+        conf.set(rows, PAIR_ROWS)  # each row holds two whole texts
+        try:
+            return keep(links.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).select("a", "b"), f"{name}-links"), checked
+        finally:
+            conf.set(rows, before)
+            self.scratch.drop(f"{name}-texts")
 
     def texts(self, pairs: DataFrame, name: str) -> DataFrame:
         """Packed texts of the documents in pairs (and few others), found through a filter of fixed size."""
@@ -400,27 +436,61 @@ class Join:
 
         return self.scratch.keep(self.docs.mapInArrow(find, "id long, packed binary"), f"{name}-texts")
 
-    def across(self, stars: DataFrame, checked: DataFrame, comps: DataFrame) -> DataFrame | None:
-        """Unchecked pairs of documents that share a key but not a component; None if there are none."""
+    def across(self, stars: DataFrame, checked: DataFrame, comps: DataFrame) -> DataFrame:
+        """Components after all pairs across components that share a key have been checked.
+
+        Where few documents stand outside their keys' largest components, all
+        their pairs are checked at once, and that ends it.  Where they are many
+        (a large family whose members are not all like its smallest id), they
+        first meet a few members of the largest components, in rounds, as long
+        as that still finds links.
+        """
         keep = self.scratch.keep
-        side = lambda c: comps.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}"))
-        apart = checked.where("status <> 1").join(side("a"), "a", "left").join(side("b"), "b", "left")
+        done, step, fruitful = checked.select("a", "b"), 0, True
+        side = lambda c, comps: comps.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}"))
+        apart = checked.where("status <> 1").join(side("a", comps), "a", "left").join(side("b", comps), "b", "left")
         apart = keep(apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "apart")
-        keys = keep(stars.join(apart, ["a", "b"], "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 0").select("key"), "mixed")
-        if keys.isEmpty():
-            return None
-        held = stars.join(keys, "key", "left_semi").select("key", F.explode(F.array("a", "b")).alias("id"))
-        held = held.groupBy("key", "id").agg(F.count(F.lit(1)).alias("n")).select("key", "id")
-        held = keep(held.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")), "held")
-        sizes = held.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-        largest = keep(sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key", "top"), "largest")
-        outside = keep(held.join(largest, "key").where(F.col("comp") != F.col("top")).select("key", F.col("id").alias("x"), F.col("comp").alias("cx")), "outside")
-        met = outside.join(held, "key").where(F.col("cx") != F.col("comp"))
-        met = met.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
-        met = keep(met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).select("a", "b"), "met")
-        rest = keep(met.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-        self.scratch.drop("apart", "mixed", "held", "largest", "outside", "met")
-        return rest
+        keys = keep(stars.join(apart, ["a", "b"], "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n")).select("key"), "mixed")
+        members = stars.join(keys, "key", "left_semi").select("key", F.explode(F.array("a", "b")).alias("id"))
+        # of equal sets one member stands for all: they have the same keys
+        members = members.join(self.copies.groupBy("id").agg(F.min("rep").alias("rep")), "id", "left").select("key", F.coalesce("rep", "id").alias("id"))
+        members = keep(members.groupBy("key", "id").agg(F.count(F.lit(1)).alias("n")).select("key", "id"), "members0")
+        while True:
+            step += 1
+            held = keep(members.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")), f"held{step}")
+            sizes = held.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+            largest = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count(F.lit(1)).alias("comps"))
+            largest = keep(largest.where("comps > 1").select("key", "top", "all", (F.col("all") - F.col("most")).alias("out")), f"largest{step}")
+            rows, pairs = largest.agg(F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum(F.col("out") * F.col("all")), F.lit(0))).first()
+            if not rows:
+                return comps
+            # the next round needs only the keys that are still mixed
+            held = keep(held.join(largest.select("key", "top"), "key"), f"mixed{step}")
+            last = not fruitful or pairs <= MANY * rows
+            folds = self.sets.select("id", F.col("n_shingles").alias("n"), *FOLDS)
+            seen = keep(held.join(folds, "id"), f"seen{step}")
+            if last:
+                others = seen
+            else:
+                spot = F.pmod("key", F.lit(4))
+                chosen = seen.where("comp = top").groupBy("key", "comp").agg(F.min_by(F.struct("id", "n", *FOLDS), F.xxhash64("id", spot, F.lit(step))).alias("s"))
+                others = keep(chosen.select("key", "comp", "s.*"), f"chosen{step}")
+            outside = seen.where("comp <> top").alias("x")
+            met = outside.join(others.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & near("x", "y"))
+            met = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+            met = keep(met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).select("a", "b"), f"met{step}")
+            rest = keep(met.join(done, ["a", "b"], "left_anti"), f"rest{step}")
+            links, _ = self.check(rest, f"across{step}")
+            found = links.count()
+            fruitful = not last and found > FRUITFUL * seen.where("comp <> top").agg(F.approx_count_distinct("id")).first()[0]
+            if found:
+                known = comps.select(F.col("id").alias("a"), F.col("comp").alias("b"))
+                comps = components(known.unionByName(links), self.scratch, f"across{step}")
+            if last:
+                return comps
+            done = keep(done.unionByName(rest), f"done{step}")
+            members = held.select("key", "id")
+            self.scratch.drop(f"members{step - 1}", f"held{step}", f"largest{step}", f"chosen{step}", f"seen{step}", f"met{step}", f"rest{step}", f"done{step - 1}", f"mixed{step - 1}")
 
 
 # --- components --------------------------------------------------------------
@@ -435,6 +505,10 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """
     keep = scratch.keep
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    if edges.count() <= FEW_LINKS:
+        return keep(edges.coalesce(1).mapInArrow(_union, "u long, v long").select(F.col("u").alias("id"), F.col("v").alias("comp")), f"{name}-comps")
+    # what a task's links join already, it sends as stars
+    edges = edges.mapInArrow(_union, "u long, v long")
     edges = keep(edges.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")).select("u", "v"), f"{name}-edges0")
     mark, step = _mark(edges), 0
     while True:
@@ -455,6 +529,27 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         mark = now
 
 
+def _union(batches):
+    """(node, smallest node of its component) for the links of one task."""
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            x, y = root(u), root(v)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    nodes = [(x, r) for x in parent if (r := root(x)) != x]
+    for lo in range(0, len(nodes), 1 << 16):
+        part = nodes[lo : lo + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64())], ["u", "v"])
+
+
 def _mark(edges: DataFrame):
     """Count and checksum of edges."""
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
