@@ -9,7 +9,9 @@ function whose schema follows from its literal arguments:
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
@@ -17,9 +19,9 @@ from pyspark.sql.functions import udtf
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from wirefold import errors
-from wirefold.functions import decoder, encoder_udf
+from wirefold.functions import Decoder, decoder, encoder_udf
 from wirefold.operators import runtime
-from wirefold.sources.descriptors import resolve
+from wirefold.sources.descriptors import Source, resolve
 
 
 def register_message(spark: SparkSession, name: str, messageType, descFilePath=None, options: Mapping[str, str] | None = None, binaryDescriptorSet: bytes | None = None, *, fields=None) -> None:
@@ -38,6 +40,16 @@ def _literal(arg: AnalyzeArgument | None, what: str) -> str:
     return str(arg.value)
 
 
+@dataclass
+class Analyzed(AnalyzeResult):
+    """What the analysis found, for the executors."""
+
+    files: bytes = b""
+    name: str = ""
+    kind: str = ""
+    dialect: str = ""
+
+
 class DecodeProtobuf:
     """Rows of a table with the fields of one binary column's messages behind them.
 
@@ -58,20 +70,20 @@ class DecodeProtobuf:
         path = _literal(args[3], "descriptor file path") if len(args) > 3 else None
         if column not in table.names:
             raise errors.unknown_path(column)
+        # the descriptor file is read here, on the driver; its bytes travel
         found = decoder(message, path)
-        return AnalyzeResult(schema=T.StructType([*table.fields, *found.schema.fields]))
+        source = found.source
+        return Analyzed(schema=T.StructType([*table.fields, *found.schema.fields]), files=source.files, name=source.name, kind=source.kind, dialect=found.dialect)
 
-    def eval(self, row, column, message, path=None, *_):
-        if not hasattr(self, "_read"):
-            self._read = _row_reader(message, path)
+    def __init__(self, analyzed: AnalyzeResult):
+        self._read = _row_reader(Decoder(Source(analyzed.files, analyzed.name, analyzed.kind), analyzed.dialect))
+
+    def eval(self, row, column, *_):
         yield (*row, *self._read(row[column]))
 
 
-def _row_reader(message: str, path: str | None):
+def _row_reader(made: Decoder):
     """From bytes to the values of a row's fields."""
-    import datetime
-
-    made = decoder(message, path)
     names = made.schema.names
     decode = runtime.row_decoder(made.source.descriptor, made.schema, made.dialect, made.options.permissive)
     zero = datetime.datetime(1970, 1, 1)
