@@ -100,9 +100,24 @@ def test_signatures(spark):
     assert {bytes(r[0]) for w in ways for r in spark.range(1).select(w).collect()} == {b"\x12\x01x"}
 
 
+def test_explain_names_what_is_left_out(spark):
+    text = decoder("Nation", SET, fields=["n_name"]).explain()
+    assert "wire dialect" in text and "not decoded: n_nationkey, n_regionkey" in text
+
+
+def test_columns_need_a_session(spark, monkeypatch):
+    monkeypatch.setattr("pyspark.SparkContext._active_spark_context", None)
+    with pytest.raises(RuntimeError, match="No active Spark session"):
+        from_protobuf("data", "Nation", SET)
+
+
 def test_rdd_of_messages(spark):
     cls = message_class(SET, "shop.Nation")
     assert messages_to_df(spark, [], cls).count() == 0
+    made = spark.sparkContext.parallelize([b"\x12\x01x", b"\x08\x05"], 2)
+    raw = SET
+    rdd = made.map(lambda b: message_class(raw, "shop.Nation").FromString(b))
+    assert sorted(map(tuple, messages_to_df(spark, rdd, cls).collect())) == [(0, "x", 0), (5, "", 0)]
     with pytest.raises(ValueError):
         messages_to_df(spark, [])
 

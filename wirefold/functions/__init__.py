@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,6 +108,8 @@ def _parser(key: tuple, schema: T.StructType) -> Callable[[pa.Array], pa.Array]:
 
 
 def _column(data: Column | str) -> Column:
+    if SparkContext._active_spark_context is None:
+        raise RuntimeError("No active Spark session: create one before building Protobuf columns")
     return F.col(data) if isinstance(data, str) else data
 
 
