@@ -139,3 +139,23 @@ def test_table_function_wants_literals(spark):
         spark.sql("SELECT * FROM decode_protobuf(TABLE(m))").collect()
     with pytest.raises(Exception, match="Expected a literal string for message name"):
         spark.sql("SELECT * FROM decode_protobuf(TABLE(m), 'data', CAST(NULL AS STRING))").collect()
+
+
+def test_three_sources_decode_the_same_message(spark, tmp_path):
+    """A well-known message with enums, lists and nested messages, by class, file and descriptor set."""
+    from google.protobuf import type_pb2
+
+    from wirefold.sources.descriptors import files_of
+
+    message = type_pb2.Type(name="TestType", oneofs=["a", "b"], fields=[type_pb2.Field(name="f", number=3, kind="TYPE_INT32", packed=True)], syntax="SYNTAX_PROTO3")
+    raw = files_of(type_pb2.Type.DESCRIPTOR).SerializeToString()
+    place = tmp_path / "type.desc"
+    place.write_bytes(raw)
+    df = spark.createDataFrame([(bytearray(message.SerializeToString()),)], "data binary")
+    row = df.select(
+        from_protobuf("data", "google.protobuf.type_pb2.Type").alias("c"), from_protobuf("data", "Type", str(place)).alias("f"), from_protobuf("data", "google.protobuf.Type", binaryDescriptorSet=raw).alias("b")
+    ).first()
+    assert row.c.name == row.f.name == row.b.name == "TestType" and row.c.oneofs == row.f.oneofs == row.b.oneofs == ["a", "b"]
+    assert row.c.fields[0].kind == row.f.fields[0].kind == "TYPE_INT32" and row.b.fields[0].kind == 5
+    assert (row.c.syntax, row.f.syntax, row.b.syntax) == ("SYNTAX_PROTO3", "SYNTAX_PROTO3", 1)
+    assert (row.c.edition, row.f.edition, row.b.edition) == ("", None, None)

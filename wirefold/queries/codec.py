@@ -10,7 +10,7 @@ from wirefold.functions.sql import register_encoder, register_functions, registe
 from wirefold.plans.frame import ProtoFrame, staged_decode
 from wirefold.queries.messages import OLD, PROTO2, SET, TREE, descriptor_file, encoded, lines, orders, table
 from wirefold.queries.registry import query
-from wirefold.sources.descriptors import message_class
+from wirefold.sources.descriptors import define, message_class
 from wirefold.sources.messages import messages_to_df, slice_bytes
 
 LINE = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus".split()
@@ -471,3 +471,38 @@ def encode_null_struct(spark, d):
     c = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.struct(F.lit(None).cast("string").alias("c_name"))).alias("s"))
     return c.select("c_custkey", F.octet_length(to_protobuf("s", "Customer", binaryDescriptorSet=SET)).alias("size"))
 
+
+
+_WIDE = [(f"double_{i:03d}", i + 1, "optional double") for i in range(40)] + [(f"long_{i:03d}", i + 41, "optional int64") for i in range(40)] + [(f"text_{i:03d}", i + 81, "optional string") for i in range(40)]
+WIDE = define("wide", {"Wide": _WIDE})
+WIDE_SQL = "SELECT o_orderkey, round(40 * o_totalprice, 2) AS doubles, 40 * o_custkey + 780 AS longs, 40 * length(o_orderpriority) AS chars FROM orders"
+
+
+def _wide(spark, d):
+    """Orders as messages of 120 fields."""
+    o = table(spark, d, "orders")
+    columns = [F.col("o_totalprice").alias(n) for n, _, k in _WIDE if "double" in k]
+    columns += [(F.col("o_custkey") + i).alias(f"long_{i:03d}") for i in range(40)]
+    columns += [F.col("o_orderpriority").alias(n) for n, _, k in _WIDE if "string" in k]
+    return o.select("o_orderkey", to_protobuf(F.struct(*columns), "Wide", binaryDescriptorSet=WIDE).alias("data"))
+
+
+def _wide_sums(m):
+    total = lambda name: sum((F.col(f"m.{name}_{i:03d}") for i in range(1, 40)), F.col(f"m.{name}_000"))
+    chars = F.length(F.concat(*[F.col(f"m.text_{i:03d}") for i in range(40)]))
+    return m.select("o_orderkey", F.round(total("double"), 2).alias("doubles"), total("long").alias("longs"), chars.cast("long").alias("chars"))
+
+
+@query(WIDE_SQL)
+def wide_message(spark, d):
+    return _wide_sums(_wide(spark, d).withColumn("m", from_protobuf("data", "Wide", binaryDescriptorSet=WIDE)))
+
+
+@query(WIDE_SQL)
+def wide_message_typed(spark, d):
+    return _wide_sums(_wide(spark, d).withColumn("m", from_protobuf("data", "Wide", descriptor_file(WIDE))))
+
+
+@query("SELECT o_orderkey, o_custkey + 7 AS long_007 FROM orders")
+def wide_message_pruned(spark, d):
+    return _wide(spark, d).select("o_orderkey", from_protobuf("data", "Wide", binaryDescriptorSet=WIDE, fields=["long_007"]).getField("long_007").alias("long_007"))
