@@ -154,3 +154,23 @@ def test_pipeline(spark):
     assert ids[2] == {c for _, _, c in brute_groups(texts)}
     assert frames[-1].where("not decodes").count() == 0
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == ids[-1]
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, comp string, kept string"
+    good = "The quick brown fox went over one lazy dog and then came home to eat, sleep and write to a@b.co about it"
+    rows = [(1, None, None, None, None, "x", None), (None, good + " today", "en", "s", 1, "x", None), (2, good, "en", "s", 1, "x", None), (2, good, "en", "s", 1, "x", None), (3, good, None, None, None, None, "k"), (4, "", "", "", 0, "", "")]
+    spark.createDataFrame([(0, "one two three four five six seven eight nine ten")], "item_id long, text string").write.parquet(f"{tmp_path}/a/benchmark.parquet")
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/a/documents.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/a").collect()
+    assert sorted((str(r.doc_id), r.decodes) for r in out) == [("2", True), ("2", True), ("None", True)]
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/b/benchmark.parquet")
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/b/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_shards_of_odd_rows(spark):
+    df = spark.createDataFrame([(None, None, "l", "s", 1, "e"), (1, "", None, None, None, None), (1, "", None, None, None, None), (2, "é" * 50_000, "l", "s", 2, "e")], "doc_id long, text string, lang string, source string, n_chars long, size string")
+    got = sorted((str(r.doc_id), r.n_bytes, r.lang) for r in sharding.op6(df).collect())
+    assert got == sorted([("None", 0, "l"), ("1", 0, None), ("1", 0, None), ("2", 100_000, "l")], key=str)
+    assert sharding.op6(df.limit(0)).count() == 0

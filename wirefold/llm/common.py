@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,6 +39,7 @@ class Scratch:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             base = tempfile.mkdtemp(prefix="wirefold-")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
         self.root = f"{base.rstrip('/')}/wirefold-{label}-{uuid.uuid4().hex[:12]}"
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
