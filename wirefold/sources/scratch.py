@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,4 +13,18 @@ from pyspark.sql import SparkSession
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir; a temporary one of this machine only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/wirefold-{uuid.uuid4().hex[:12]}" if base else tempfile.mkdtemp(prefix="wirefold-")
+    if not base:
+        local = tempfile.mkdtemp(prefix="wirefold-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        return local
+    folder = f"{base.rstrip('/')}/wirefold-{uuid.uuid4().hex[:12]}"
+    atexit.register(_delete, spark, folder)
+    return folder
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    try:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # the JVM may be gone by now
+        pass
