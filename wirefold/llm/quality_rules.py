@@ -28,7 +28,7 @@ RULES: dict[str, str] = {
     "repeated_words": "100 * n_repeat_words > 20 * n_words",
     "symbols": "10 * n_symbols > 3 * n_words",
     "shouting": "10 * n_bangs > 3 * n_words",
-    "repeated_lines": "10 * n_dup_lines > 3 * n_lines",
+    "repeated_lines": "n_dup_lines >= 5 AND 2 * n_dup_lines > n_lines",
     "long_words": "word_chars > 25 * n_words",
     "short_words": "word_chars < 2 * n_words",
 }
@@ -178,7 +178,7 @@ m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))
       FROM w LEFT JOIN r USING (doc_id)),
 f AS (SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
         + CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END + CASE WHEN 10 * n_bangs > 3 * n_words THEN 8 ELSE 0 END
-        + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 16 ELSE 0 END + CASE WHEN word_chars > 25 * n_words THEN 32 ELSE 0 END
+        + CASE WHEN n_dup_lines >= 5 AND 2 * n_dup_lines > n_lines THEN 16 ELSE 0 END + CASE WHEN word_chars > 25 * n_words THEN 32 ELSE 0 END
         + CASE WHEN word_chars < 2 * n_words THEN 64 ELSE 0 END)::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 127) = 0 AS kept, fail_bits FROM f
