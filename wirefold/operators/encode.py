@@ -20,7 +20,7 @@ from google.protobuf.descriptor import Descriptor, FieldDescriptor
 from pyspark.sql.pandas.types import from_arrow_type
 
 from wirefold import errors
-from wirefold.operators.wire import _WIRE_TYPE, BYTES, FIXED32, FIXED64, VARINT, spread
+from wirefold.operators.wire import _WIRE_TYPE, BYTES, FIXED64, VARINT, spread
 from wirefold.plans.schema import is_map, well_known
 
 F = FieldDescriptor
