@@ -247,3 +247,14 @@ def test_reparameterised_question_is_found_and_inconsistent_one_is_not(spark):
     odd = "Then Carol bought 15 red apples for 4 dollars and sold 16 of them near the old market, so 17 apples less 18 are left here."
     df = spark.createDataFrame([(1, same), (2, odd)], "doc_id long, text string")
     assert [r.doc_id for r in decontam.op3(df, bench).collect()] == [1]
+
+
+def test_an_occurrence_that_agrees_is_not_outvoted(spark):
+    tom = "Tom has 3 red apples in the box, Ann has 5 red apples in the box and Sue has 7 red apples in the box. How many apples are there in total?"
+    ask = "A farmer bought 12 brown hens for 30 dollars and then sold 12 of them near the old market for 45 dollars in one day."
+    other = [ask.replace("12", str(n)).replace("30", str(n + 9)).replace("45", str(n + 20)) for n in (15, 22, 61)]
+    longer = ask.replace("12", "18").replace("then sold", "then very quickly sold")
+    bench = spark.createDataFrame([(1, tom), (2, ask)], "item_id long, text string")
+    docs = [(1, tom), (2, " So. ".join([ask, other[0]])), (3, " So. ".join(other)), (4, " So. ".join([other[0], longer, other[2]])), (5, other[0]), (5, other[1])]
+    got = {(r.doc_id, r.item_id) for r in decontam.op3(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got >= {(1, 1), *((d, 2) for d in range(2, 6))}

@@ -4,18 +4,20 @@ Texts become templates: numbers, names and units turn into typed placeholders,
 whose values are kept as slots; letters A-Z lower-cased, punctuation is blank.
 Windows of ``WIDTH`` template words of documents and benchmark items are joined
 on their hash, so a question asked again with other numbers or names meets its
-original.  A pair then passes the slot check: within a document each value of
-the item must stand for one value throughout (a re-parameterised question
-changes a value everywhere alike), or the pair is chance likeness of templates.
-A document is contaminated by an item if the matched windows make up at least
-``MIN_COVER`` of the item's.
+original.  A pair then passes the slot check: each value of the item must stand
+for one value throughout (a re-parameterised question changes a value everywhere
+alike), or the pair is chance likeness of templates.  A document is contaminated
+by an item if some reading of the matched windows passes that check and makes
+up at least ``MIN_COVER`` of the item's: the windows with the item's own values,
+all windows of the document, or one occurrence.  An occurrence is a difference
+of positions, alone or with the windows nearest to it (for inserted and left-out
+words), so an occurrence that agrees is not outvoted by others.
 
 The benchmark may be of any size: documents' windows are first sieved through a
 Bloom filter of the item windows, a bitmap of fixed size; what passes goes
 through an ordinary equi-join on the hash.  Only a fixed bitmap is broadcast.
-A window that many documents share is joined with the few items that hold it;
-document windows are distinct before that, and a pair's counts are combined on
-the map side.
+A window that many documents share is joined with the few items that hold it.
+The matches of a document and an item are judged together in one worker.
 
 Edge cases: a null or empty text has no windows; items of fewer than ``WIDTH``
 words cannot be told from ordinary text and never match; a window with fewer
@@ -27,9 +29,11 @@ id of its own; empty tables give an empty result; further columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,26 +120,22 @@ def windows(texts: list[str | None], width: int = WIDTH):
             at += n
 
 
-def _rows(ids: pa.Array, texts: list, name: str, sieve: np.ndarray | None) -> pa.RecordBatch:
-    """One row for each distinct (hash, slots) of a text that passes the sieve."""
+def _rows(ids: pa.Array, texts: list, name: str, sieve: np.ndarray | None) -> tuple[pa.RecordBatch, list[int]]:
+    """One row for each window of a text that passes the sieve, and the index of its text."""
     who, hashes, places, slots = [], [], [], []
     for i, (own, pos, before, values) in enumerate(windows(texts)):
         if sieve is not None and len(own):
             hit = _passes(own, sieve)
             own, pos = own[hit], pos[hit]
-        seen = set()
         for h, p in zip(own.tolist(), pos.tolist()):
-            held = tuple(values[before[p] : before[p + WIDTH]])
-            if sieve is None or (h, held) not in seen:
-                seen.add((h, held))
-                who.append(i)
-                hashes.append(h)
-                places.append(p)
-                slots.append(list(held))
+            who.append(i)
+            hashes.append(h)
+            places.append(p)
+            slots.append(values[before[p] : before[p + WIDTH]])
     return pa.RecordBatch.from_arrays(
         [ids.take(pa.array(who, pa.int64())), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(places, pa.int32()), pa.array(slots, pa.list_(pa.string()))],
         [name, "h", "pos", "slots"],
-    )
+    ), who
 
 
 def _passes(hashes: np.ndarray, sieve: np.ndarray) -> np.ndarray:
@@ -149,7 +149,7 @@ def item_windows(benchmark: DataFrame, key: str = "item_id", text: str = "text")
 
     def run(batches):
         for b in batches:
-            yield _rows(b.column(0), b.column(1).to_pylist(), "_item", None)
+            yield _rows(b.column(0), b.column(1).to_pylist(), "_item", None)[0]
 
     return benchmark.select(F.col(key).alias("_item"), F.col(text).cast("string")).mapInArrow(run, f"_item {kind}, h long, pos int, slots array<string>")
 
@@ -170,34 +170,104 @@ def sieve_of(items: DataFrame) -> np.ndarray:
     return out
 
 
+class _Tally:
+    """Item windows of a reading, and of each item value how often its commonest value stands for it."""
+
+    def __init__(self) -> None:
+        self.held: set[int] = set()
+        self.counts: dict[tuple[str, str], int] = {}
+        self.best: dict[str, int] = {}
+        self.slots = self.agreeing = 0
+
+    def add(self, pos: int, slots: list[str], theirs: list[str]) -> None:
+        self.held.add(pos)
+        for pair in zip(slots, theirs):
+            n = self.counts[pair] = self.counts.get(pair, 0) + 1
+            self.slots += 1
+            if n > self.best.get(pair[0], 0):
+                self.best[pair[0]] = n
+                self.agreeing += 1
+
+    def agrees(self) -> bool:
+        return self.agreeing >= MIN_AGREE * self.slots
+
+    def passes(self, total: int) -> bool:
+        return len(self.held) >= MIN_COVER * total and self.agrees()
+
+
+def _readings(met: list[tuple]) -> Iterator[_Tally]:
+    """Readings of the (row, pos, at, slots, theirs) that a document and an item share."""
+    whole, own = _Tally(), _Tally()
+    for pos, slots, theirs in sorted({(m[1], m[3], m[4]) for m in met}):
+        whole.add(pos, slots, theirs)
+        if slots == theirs:
+            own.add(pos, slots, theirs)
+    yield whole
+    yield own
+    rows: dict[int, dict[int, list[tuple]]] = {}
+    for row, pos, at, slots, theirs in met:
+        rows.setdefault(row, {}).setdefault(at - pos, []).append((pos, slots, theirs))
+    for lines in rows.values():
+        shifts = sorted(lines)
+        every = len({m[0] for line in lines.values() for m in line})
+        for k in sorted(range(len(shifts)), key=lambda k: -len(lines[shifts[k]])):
+            tally, lo, hi = _Tally(), k, k
+            for m in lines[shifts[k]]:
+                tally.add(*m)
+            yield tally
+            # then with the other lines, nearest first, for windows that are still missing
+            while len(tally.held) < every:
+                lower = hi + 1 == len(shifts) or (lo > 0 and shifts[k] - shifts[lo - 1] <= shifts[hi + 1] - shifts[k])
+                lo, hi = (lo - 1, hi) if lower else (lo, hi + 1)
+                new = [m for m in lines[shifts[lo if lower else hi]] if m[0] not in tally.held]
+                for m in new:
+                    tally.add(*m)
+                if new:
+                    yield tally
+
+
+def _judge(met: list[tuple], total: int) -> tuple[int, int, int] | None:
+    """Matched windows, slots and agreeing slots of the first reading that passes."""
+    if len({m[1] for m in met}) < MIN_COVER * total:
+        return None
+    return next(((len(t.held), t.slots, t.agreeing) for t in _readings(met) if t.passes(total)), None)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
     """Contaminated documents: ``key``, ``item``, matched windows, the item's windows, slots, agreeing slots."""
-    kind = docs.schema[key].dataType.simpleString()
+    kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
     items = item_windows(benchmark, item, text)
     sieve = sieve_of(items)
 
     def run(batches):
+        # a text's number tells the positions of rows with one id apart
+        at = TaskContext.get().partitionId() << 40
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                yield _rows(part.column(0), part.column(1).to_pylist(), "_doc", sieve)
+                rows, who = _rows(part.column(0), part.column(1).to_pylist(), "_doc", sieve)
+                yield rows.append_column("row", pa.array(np.array(who, np.int64) + at))
+                at += part.num_rows
 
-    found = docs.select(F.col(key).alias("_doc"), F.col(text).cast("string")).mapInArrow(run, f"_doc {kind}, h long, pos int, slots array<string>")
-    met = found.select("_doc", "h", F.col("slots").alias("theirs")).join(items, "h").where(F.size("theirs") == F.size("slots"))
+    found = docs.select(F.col(key).alias("_doc"), F.col(text).cast("string")).mapInArrow(run, f"_doc {kind}, h long, pos int, slots array<string>, row long")
+    met = found.select("_doc", "h", "row", F.col("pos").alias("at"), F.col("slots").alias("theirs")).join(items, "h").where(F.size("theirs") == F.size("slots"))
     total = items.groupBy("_item").agg(F.countDistinct("pos").alias("item_windows"))
-    # one row for each document, item, window of the item, and values met there
-    met = met.groupBy("_doc", "_item", "pos", "slots", "theirs").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
-    cover = met.groupBy("_doc", "_item").agg(F.countDistinct("pos").alias("matched"))
-    # slots: of each item value the share that its commonest value in the document has
-    pairs = met.where(F.size("slots") > 0).select("_doc", "_item", F.explode(F.arrays_zip("slots", "theirs")).alias("s"))
-    pairs = pairs.groupBy("_doc", "_item", F.col("s.slots").alias("a"), F.col("s.theirs").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    pairs = pairs.groupBy("_doc", "_item", "a").agg(F.sum("n").alias("n"), F.max("n").alias("top"))
-    agree = pairs.groupBy("_doc", "_item").agg(F.sum("n").alias("slots"), F.sum("top").alias("agreeing"))
-    both = cover.join(agree.select(F.col("_doc").alias("_d"), F.col("_item").alias("_i"), "slots", "agreeing"), F.col("_doc").eqNullSafe(F.col("_d")) & F.col("_item").eqNullSafe(F.col("_i")), "left")
-    both = both.select("_doc", "_item", "matched", F.coalesce("slots", F.lit(0)).alias("slots"), F.coalesce("agreeing", F.lit(0)).alias("agreeing"))
-    both = both.join(total.withColumnRenamed("_item", "_t"), F.col("_item").eqNullSafe(F.col("_t"))).drop("_t")
-    kept = both.where((F.col("matched") >= MIN_COVER * F.col("item_windows")) & (F.col("agreeing") >= MIN_AGREE * F.col("slots")))
-    return kept.select(F.col("_doc").alias(key), F.col("_item").alias(item), "matched", "item_windows", "slots", "agreeing")
+    met = met.groupBy("_doc", "_item").agg(F.collect_list(F.struct("row", "pos", "at", "slots", "theirs")).alias("met"))
+    met = met.join(total.withColumnRenamed("_item", "_t"), F.col("_item").eqNullSafe(F.col("_t"))).select("_doc", "_item", "item_windows", "met")
+
+    def judge(batches):
+        for b in batches:
+            keep, out = [], []
+            for i, total in enumerate(b.column(2).to_pylist()):
+                found = _judge([(m["row"], m["pos"], m["at"], tuple(m["slots"]), tuple(m["theirs"])) for m in b.column(3)[i].as_py()], total)
+                if found:
+                    keep.append(i)
+                    out.append(found)
+            rows = b.take(pa.array(keep, pa.int64()))
+            parts = [pa.array([o[k] for o in out], pa.int64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), parts[0], rows.column(2), parts[1], parts[2]], [key, item, "matched", "item_windows", "slots", "agreeing"])
+
+    return met.mapInArrow(judge, f"`{key}` {kind}, `{item}` {item_kind}, matched long, item_windows long, slots long, agreeing long")
 
 
 def op3(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
