@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return _without(docs, decontam.matches(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id"), "leaks")
+    return _without(docs, decontam.contaminated(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id"), "leaks")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -258,3 +258,26 @@ def test_an_occurrence_that_agrees_is_not_outvoted(spark):
     docs = [(1, tom), (2, " So. ".join([ask, other[0]])), (3, " So. ".join(other)), (4, " So. ".join([other[0], longer, other[2]])), (5, other[0]), (5, other[1])]
     got = {(r.doc_id, r.item_id) for r in decontam.op3(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
     assert got >= {(1, 1), *((d, 2) for d in range(2, 6))}
+
+
+def test_items_without_a_usable_window_are_found(spark, tmp_path):
+    from wirefold.llm.registry import queries
+
+    items = ["If 3 apples cost 6 dollars, 9 apples cost?", "Compute 17 * 24 + 36 - 58 / 2", "Who was Bob?", None, "", "What is 3.5 plus 4?"]
+    texts = [
+        ("Some words. " + items[0] + " More words.", {0}),
+        ("Some words. If 4 apples cost 7 dollars, 10 apples cost? More.", {0}),
+        ("Some words. If 4 apples cost 4 dollars, 4 apples cost? And 5 dollars.", {0}),
+        ("So now compute 17 * 24 + 36 - 58 / 2 and 5", {1}),
+        ("Exercise 1 Compute 17 * 24 + 36 - 58 / 2", {1}),
+        ("Compute 18 * 24 + 36 - 58 / 2", set()),
+        ("They asked who was Bob and " + "what is 3.5 plus 4? " * 50, {2, 5}),
+        ("What is 3.6 plus 4? Who was Bobby?", set()),
+        ("Who was", set()),
+        ("Bob", set()),
+        (None, set()),
+    ]
+    spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [(r.doc_id, r.item_id) for r in queries()["op3_template_decontamination"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(d, i) for d, (_, found) in enumerate(texts) for i in found}

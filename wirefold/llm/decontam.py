@@ -19,9 +19,15 @@ through an ordinary equi-join on the hash.  Only a fixed bitmap is broadcast.
 A window that many documents share is joined with the few items that hold it.
 The matches of a document and an item are judged together in one worker.
 
-Edge cases: a null or empty text has no windows; items of fewer than ``WIDTH``
-words cannot be told from ordinary text and never match; a window with fewer
-than ``MIN_PLAIN`` plain words is not used; repeated items each give their own
+Items without a usable window (short or dense with numbers) are searched as a
+whole by ``whole_matches``: their literal words, at any length, and from ``WIDTH``
+words with ``MIN_PLAIN`` plain ones on also their template with the slot check.
+That takes one more pass over the documents for each distinct length of such
+items, and none if there are none.  ``contaminated`` is both ways together.
+
+Edge cases: a null or empty text has no windows and no words; an item of one
+word matches every document with that word; a window with fewer than
+``MIN_PLAIN`` plain words is not used; repeated items each give their own
 rows; rows with the same doc_id are one document; a null doc_id is one document
 id of its own; empty tables give an empty result; further columns are ignored.
 """
@@ -37,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirefold.llm.common import blocks, window_hashes, word_hashes
+from wirefold.llm.common import blocks, mix, window_hashes, word_hashes
 
 WIDTH = 6
 MIN_PLAIN = 4
@@ -270,5 +276,120 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: st
     return met.mapInArrow(judge, f"`{key}` {kind}, `{item}` {item_kind}, matched long, item_windows long, slots long, agreeing long")
 
 
+# --- items without a usable window -------------------------------------------
+
+_INNER = re.compile(r"(?<=[0-9])[.,](?=[0-9])")
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+def literal(text: str | None) -> bytes:
+    """The words of a text with their values; a number with a fraction stays one word."""
+    for mark in "\x01\x02\x03":
+        text = (text or "").replace(mark, " ")
+    return _INNER.sub(lambda m: "\x01" if m[0] == "." else "\x02", text).encode("utf-8", "surrogatepass").lower().translate(_BLANK)
+
+
+def _runs(words: np.ndarray, lengths: list[int], salt: int) -> Iterator[np.ndarray]:
+    """For each length the hashes of all runs of so many words."""
+    n = len(words)
+    up = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _BASE)]))
+    down = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _BACK)]))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words) * up[:n], dtype=np.uint64)])
+    for k in lengths:
+        m = max(0, n - k + 1)
+        yield mix((sums[k : k + m] - sums[:m]) * down[:m] + np.uint64(2 * k + salt))
+
+
+def _whole_items(ids: pa.Array, texts: list) -> pa.RecordBatch:
+    """``_item``, h, n, literal, slots of the items that have no usable window: of their words, and of their template if it is long enough."""
+    out = []
+    for i, (text, (own, *_)) in enumerate(zip(texts, windows(texts))):
+        if len(own):
+            continue
+        made, values = template(text)
+        for words, salt, slots in ((word_hashes([literal(text)])[0], 0, []), (word_hashes([made])[0], 1, values)):
+            n = len(words)
+            if n and (not salt or n >= WIDTH and n - np.isin(words, _MARKS).sum() >= MIN_PLAIN):
+                out.append((i, int(next(_runs(words, [n], salt)).view(np.int64)[0]), n, not salt, slots))
+    who, hashes, sizes, kinds, slots = zip(*out) if out else [()] * 5
+    return pa.RecordBatch.from_arrays(
+        [ids.take(pa.array(who, pa.int64())), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(kinds, pa.bool_()), pa.array(slots, pa.list_(pa.string()))],
+        ["_item", "h", "n", "literal", "slots"],
+    )
+
+
+def _whole_rows(ids: pa.Array, texts: list, lengths: dict[bool, list[int]], sieve: np.ndarray) -> pa.RecordBatch:
+    """One row for each distinct (hash, slots) of a document's runs of words that pass the sieve."""
+    out = set()
+    for plain, sizes in lengths.items():
+        made = [(literal(t), []) if plain else template(t) for t in texts]
+        for lo, hi in blocks(made, lambda m: len(m[0])):
+            words, counts = word_hashes([m[0] for m in made[lo:hi]])
+            text = np.repeat(np.arange(hi - lo), counts)
+            ends = np.cumsum(counts)
+            before = np.concatenate([[0], np.cumsum(np.isin(words, _MARKS))])
+            for k, hashes in zip(sizes, _runs(words, sizes, 0 if plain else 1)):
+                at = np.arange(len(hashes))
+                at = at[(at + k <= ends[text[at]]) & _passes(hashes, sieve)]
+                for p in at.tolist():
+                    i = int(text[p])
+                    first = before[ends[i] - counts[i]]
+                    out.add((lo + i, int(hashes[p].view(np.int64)), () if plain else tuple(made[lo + i][1][before[p] - first : before[p + k] - first])))
+    who, hashes, slots = zip(*sorted(out)) if out else [()] * 3
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(who, pa.int64())), pa.array(hashes, pa.int64()), pa.array(map(list, slots), pa.list_(pa.string()))], ["_doc", "h", "theirs"])
+
+
+def whole_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame | None:
+    """As ``matches``, of the items without a usable window (the whole item counts as one window); None if there are none."""
+    kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
+
+    def whole(batches):
+        for b in batches:
+            yield _whole_items(b.column(0), b.column(1).to_pylist())
+
+    items = benchmark.select(F.col(item).alias("_item"), F.col(text).cast("string")).mapInArrow(whole, f"_item {item_kind}, h long, n int, literal boolean, slots array<string>")
+    lengths: dict[bool, list[int]] = {}
+    for r in items.select("literal", "n").distinct().toLocalIterator():
+        lengths.setdefault(r[0], []).append(r[1])
+    if not lengths:
+        return None
+    sieve = sieve_of(items)
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                yield _whole_rows(part.column(0), part.column(1).to_pylist(), lengths, sieve)
+
+    def judge(batches):
+        for b in batches:
+            keep, slots, agreeing = [], [], []
+            for i, (own, theirs) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+                tally = _Tally()
+                tally.add(0, own, theirs)
+                if tally.agrees():
+                    keep.append(i)
+                    slots.append(tally.slots)
+                    agreeing.append(tally.agreeing)
+            rows, one = b.take(pa.array(keep, pa.int64())), pa.array([1] * len(keep), pa.int64())
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), one, one, pa.array(slots, pa.int64()), pa.array(agreeing, pa.int64())], [key, item, "matched", "item_windows", "slots", "agreeing"])
+
+    found = docs.select(F.col(key).alias("_doc"), F.col(text).cast("string")).mapInArrow(run, f"_doc {kind}, h long, theirs array<string>")
+    met = found.join(items, "h").where(F.size("theirs") == F.size("slots")).select("_doc", "_item", "slots", "theirs")
+    return met.mapInArrow(judge, f"`{key}` {kind}, `{item}` {item_kind}, matched long, item_windows long, slots long, agreeing long")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
+    """``matches`` and ``whole_matches``, one row for each document and item."""
+    found, whole = matches(docs, benchmark, key, item, text), whole_matches(docs, benchmark, key, item, text)
+    if whole is None:
+        return found
+    rest = ["matched", "item_windows", "slots", "agreeing"]
+    best = found.unionByName(whole).groupBy(key, item).agg(F.max(F.struct("item_windows", "matched", "slots", "agreeing")).alias("_best"))
+    return best.select(key, item, *[F.col("_best")[c].alias(c) for c in rest])
+
+
 def op3(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The windows' part alone; the registered query and the pipeline run ``contaminated``."""
     return matches(docs, benchmark)

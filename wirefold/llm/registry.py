@@ -13,7 +13,7 @@ def queries() -> dict:
         "pipeline": corpus_pipeline.run,
         "op1_pii": docs(pii.op1),
         "op2_warc": lambda spark, d: warc.op2(read_table(spark, d, "pages")),
-        "op3_template_decontamination": lambda spark, d: decontam.op3(read_table(spark, d, "documents"), read_table(spark, d, "benchmark")),
+        "op3_template_decontamination": lambda spark, d: decontam.contaminated(read_table(spark, d, "documents"), read_table(spark, d, "benchmark")),
         "op4_jaccard_join": docs(jaccard_join.op4),
         "op5_pieces": docs(pieces.op5),
         "op6_size_tiered_shards": docs(sharding.op6),
