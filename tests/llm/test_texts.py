@@ -65,6 +65,13 @@ def test_detect_and_redact(spark):
     assert pii.op1(df.limit(0)).count() == 0 and pii.redact(df.limit(0)).columns == df.columns
 
 
+def test_long_regions_are_searched_whole():
+    numbers = [f"(415) 555-{n:04d}" for n in range(199, 299)]
+    text = "2024-05 " + " ".join(numbers)
+    found = [text[a:b] for a, b, k in pii.find(text, pii.trained())[1] if k == "phone"]
+    assert found == numbers
+
+
 # --- pieces and counts
 
 

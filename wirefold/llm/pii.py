@@ -195,17 +195,7 @@ class Model:
         return out[::-1]
 
     def spans(self, text: str) -> list[Span]:
-        return [s for m in _REGION.finditer(text) for s in self._piecewise(text, m.start(), m.end())]
-
-    def _piecewise(self, text: str, lo: int, hi: int) -> Iterator[Span]:
-        """Regions longer than any entity (tables of numbers) are cut at tokens, with overlap left to the features' edges."""
-        step = 400
-        while hi - lo > step:
-            cut = next((m.start() for m in re.compile(r"\s").finditer(text, lo + step, hi)), hi)
-            yield from self.decode(text, lo, cut)
-            lo = cut
-        if lo < hi:
-            yield from self.decode(text, lo, hi)
+        return [s for m in _REGION.finditer(text) for s in self.decode(text, m.start(), m.end())]
 
 
 def _training() -> list[tuple[str, list[Span]]]:
