@@ -72,6 +72,20 @@ def test_long_regions_are_searched_whole():
     assert found == numbers
 
 
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("write to john.smith (at) cs (dot) mit (dot) edu soon", "email:9:47"),
+        ("write to 3f2ax.lee (at) example (dot) org soon", "email:9:41"),
+        ("mail " + "a." * 60 + "b@x.org" + " now", "email:5:132"),
+        ("mail " + "a." * 60 + "b (at) x (dot) org now", "email:5:143"),
+        ("api key: 24be6443-9e3e-49cf-46b2-d7c90f3602a3 keep", "secret:9:45"),
+    ],
+)
+def test_spans_of_many_tokens(text, found):
+    assert pii.joined(pii.find(text, pii.trained())[1]) == found
+
+
 # --- pieces and counts
 
 

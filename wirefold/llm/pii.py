@@ -5,8 +5,9 @@ pattern describes (phones without a plus, spelled-out addresses, keys after a
 cue word).  It scores whole segments: a feature may look at all of a candidate
 span (digit count, grouping, checksum, dotted-quad range) and at the words
 before it, and dynamic programming chooses boundaries and types jointly.  A
-segment holds at most ``MAX_TOKENS`` tokens, so the search costs
-tokens x MAX_TOKENS x kinds.  Outside candidate regions (stretches with digits,
+segment holds at most ``MAX_TOKENS`` tokens, or is a whole region with letters
+(an address or an opaque word of any length), so the search costs
+tokens x MAX_TOKENS x kinds; segments of digits end early, at ``MAX_DIGITS``.  Outside candidate regions (stretches with digits,
 an at sign or a long opaque word) no entity segment has a feature, so the best
 labelling there is known without search.
 
@@ -98,13 +99,16 @@ def joined(spans) -> str:
 
 # --- semi-Markov CRF ---------------------------------------------------------
 
-MAX_TOKENS = 16
+MAX_TOKENS = 64
+#: A segment of digits alone that has more than this many holds at most ``DIGIT_TOKENS`` tokens.
+MAX_DIGITS, DIGIT_TOKENS = 20, 16
 LABELS = ("O", *KINDS)
 _TOKEN = re.compile(r"(?=[0-9_]*[A-Za-z])[A-Za-z0-9_]{20,}|[0-9]+|[^\W\d_]+|[^\w\s]|_|\s+|\w")
-#: Where an entity segment can have a feature at all.
+#: Where an entity segment can have a feature at all; addresses and opaque words may begin with digits, so they come first.
 _REGION = re.compile(
-    r"[+(]?(?<![0-9])[0-9](?:[0-9]|[ ().\-/](?=[0-9 ().\-/])){5,}[0-9]"
-    r"|(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._-]*(?: ?[(\[](?:at|AT)[)\]] ?|@)[A-Za-z0-9-]+(?:(?: ?[(\[](?:dot|DOT)[)\]] ?|\.)[A-Za-z0-9-]+)*"
+    r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._-]*(?: ?[(\[](?:at|AT)[)\]] ?|@)[A-Za-z0-9-]+(?:(?: ?[(\[](?:dot|DOT)[)\]] ?|\.)[A-Za-z0-9-]+)*"
+    r"|(?<![A-Za-z0-9])(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{20,}"
+    r"|[+(]?(?<![0-9])[0-9](?:[0-9]|[ ().\-/](?=[0-9 ().\-/])){5,}[0-9]"
     r"|(?<![A-Za-z0-9])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{20,}"
 )
 _CUES = {
@@ -157,6 +161,28 @@ def features(text: str, a: int, b: int) -> list[str]:
     return out
 
 
+def _cuts(text: str, lo: int, hi: int) -> list[int]:
+    """Where the tokens of a region begin, and its end."""
+    return [m.start() + lo for m in _TOKEN.finditer(text[lo:hi])] + [hi]
+
+
+def _starts(text: str, cuts: list[int]) -> Iterator[range | list[int]]:
+    """For each cut but the first the cuts at which a segment that ends there may begin, in order."""
+    n = len(cuts) - 1
+    letters = re.search(r"[^\W\d_]", text[cuts[0] : cuts[-1]]) is not None
+    digits = [0]
+    for a, b in zip(cuts, cuts[1:]):
+        digits.append(digits[-1] + (b - a if text[a] in "0123456789" else 0))
+    for j in range(1, n + 1):
+        low = max(0, j - MAX_TOKENS)
+        if letters:
+            yield [0, *range(low, j)] if j == n and low else range(low, j)
+        else:
+            while low < j - DIGIT_TOKENS and digits[j] - digits[low] > MAX_DIGITS:
+                low += 1
+            yield range(low, j)
+
+
 class Model:
     """Weights by (feature, label), and what one label after another costs."""
 
@@ -172,19 +198,20 @@ class Model:
 
     def decode(self, text: str, lo: int, hi: int) -> list[Span]:
         """Best segmentation of text[lo:hi]; entity segments only."""
-        cuts = [m.start() + lo for m in _TOKEN.finditer(text[lo:hi])] + [hi]
+        cuts = _cuts(text, lo, hi)
         n = len(cuts) - 1
         best = [0.0] + [-np.inf] * n
         back: list[tuple[int, int]] = [(0, 0)] * (n + 1)
-        for j in range(1, n + 1):
+        for j, starts in enumerate(_starts(text, cuts), 1):
             best[j], back[j] = best[j - 1], (j - 1, 0)  # O: one token, score 0
-            for i in range(max(0, j - MAX_TOKENS), j):
+            for i in starts:
                 names = features(text, cuts[i], cuts[j])
                 if names == ["none"]:
                     continue
                 s = self.score(names)
                 k = int(s[1:].argmax()) + 1
-                if best[i] + s[k] > best[j]:
+                # of segments that score alike the longest, so a longer one also wins over a shorter one and O
+                if best[i] + s[k] > best[j] or (best[i] + s[k] == best[j] and s[k] > 0 and not back[j][1]):
                     best[j], back[j] = best[i] + s[k], (i, k)
         out, j = [], n
         while j:
@@ -258,19 +285,23 @@ def trained(steps: int = 60, rate: float = 1.0, decay: float = 1e-3) -> Model:
     samples = []
     index: dict[str, int] = {}
     for text, gold in _training():
+        reached = 0
         for m in _REGION.finditer(text):
             lo, hi = m.start(), m.end()
-            cuts = [t.start() + lo for t in _TOKEN.finditer(text[lo:hi])] + [hi]
+            cuts = _cuts(text, lo, hi)
             n, segs, rows = len(cuts) - 1, [], []
-            for j in range(1, n + 1):
-                for i in range(max(0, j - MAX_TOKENS), j):
+            for j, starts in enumerate(_starts(text, cuts), 1):
+                for i in starts:
                     names = features(text, cuts[i], cuts[j])
                     if names != ["none"]:
                         segs.append((i, j))
                         rows.append([index.setdefault(f, len(index)) for f in names])
             want = {(a, b): LABELS.index(k) for a, b, k in gold}
             hits = {s: want[cuts[s[0]], cuts[s[1]]] for s in segs if (cuts[s[0]], cuts[s[1]]) in want}
+            reached += len(hits)
             samples.append((n, segs, rows, hits))
+        if reached != len(gold):
+            raise ValueError(f"no segment reaches a span of {text!r}")
     w = np.zeros((len(index), len(LABELS)))
     for step in range(steps):
         grad = -decay * w * len(samples)
