@@ -302,3 +302,12 @@ def test_items_without_a_usable_window_are_found(spark, tmp_path):
     spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = [(r.doc_id, r.item_id) for r in queries()["op3_template_decontamination"](spark, str(tmp_path)).collect()]
     assert len(got) == len(set(got)) and set(got) == {(d, i) for d, (_, found) in enumerate(texts) for i in found}
+
+
+def test_a_long_run_of_a_longer_item_is_found(spark):
+    item = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300))
+    words = item.split()
+    docs = [(1, " ".join(["so", *words[100:113], "it"])), (2, " ".join(["so", *words[100:112], "it"])), (3, " ".join(words[:110])), (4, " ".join([*words[:8], "it", *words[8:16]]))]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontam.op3(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert sorted(r.doc_id for r in got) == [1, 3]

@@ -11,7 +11,8 @@ by an item if some reading of the matched windows passes that check and makes
 up at least ``MIN_COVER`` of the item's: the windows with the item's own values,
 all windows of the document, or one occurrence.  An occurrence is a difference
 of positions, alone or with the windows nearest to it (for inserted and left-out
-words), so an occurrence that agrees is not outvoted by others.
+words), so an occurrence that agrees is not outvoted by others.  Whatever its
+share of the item, ``MIN_RUN`` consecutive words that pass the check do too.
 
 The benchmark may be of any size: documents' windows are first sieved through a
 Bloom filter of the item windows, a bitmap of fixed size; what passes goes
@@ -48,6 +49,7 @@ from wirefold.llm.common import blocks, mix, window_hashes, word_hashes
 WIDTH = 6
 MIN_PLAIN = 4
 MIN_COVER = 0.4
+MIN_RUN = 13
 MIN_AGREE = 0.8
 #: Size of the sieve in bits; documents' windows pass by chance with the share of set bits.
 SIEVE_BITS = 1 << 22
@@ -232,11 +234,30 @@ def _readings(met: list[tuple]) -> Iterator[_Tally]:
                     yield tally
 
 
+def _long_runs(met: list[tuple]) -> Iterator[_Tally]:
+    """Runs of at least ``MIN_RUN`` words that matched windows cover without a gap, of all windows and of those with the item's own values."""
+    for own in (False, True):
+        lines: dict[tuple[int, int], list[tuple]] = {}
+        for row, pos, at, slots, theirs in met:
+            if not own or slots == theirs:
+                lines.setdefault((row, at - pos), []).append((pos, slots, theirs))
+        for line in lines.values():
+            line.sort()
+            ends = [k for k in range(1, len(line)) if line[k][0] - line[k - 1][0] > WIDTH]
+            for lo, hi in zip([0, *ends], [*ends, len(line)]):
+                if line[hi - 1][0] - line[lo][0] + WIDTH >= MIN_RUN:
+                    tally = _Tally()
+                    for m in line[lo:hi]:
+                        tally.add(*m)
+                    yield tally
+
+
 def _judge(met: list[tuple], total: int) -> tuple[int, int, int] | None:
     """Matched windows, slots and agreeing slots of the first reading that passes."""
-    if len({m[1] for m in met}) < MIN_COVER * total:
-        return None
-    return next(((len(t.held), t.slots, t.agreeing) for t in _readings(met) if t.passes(total)), None)
+    covers = len({m[1] for m in met}) >= MIN_COVER * total
+    passed = next((t for t in _readings(met) if t.passes(total)), None) if covers else None
+    passed = passed or next((t for t in _long_runs(met) if t.agrees()), None)
+    return (len(passed.held), passed.slots, passed.agreeing) if passed else None
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
