@@ -1,43 +1,104 @@
-"""Shared helpers of the training-data operators: tables, scratch space, word hashing."""
+"""Shared helpers of the training-data operators: bounded batches, tables, scratch space, word hashing."""
 
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts are hashed in blocks of about this many bytes (one text may exceed it).
 BLOCK_BYTES = 1 << 20
 
+#: How rows of whole texts travel: few rows in a vector of the Parquet reader (its buffers grow with the longest texts and
+#: stay), and Arrow batches bounded by bytes (one row may exceed it).
+BOUNDS = {"spark.sql.parquet.columnarReaderBatchSize": "512", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+_MARK = "spark.wirefold.bounded"
+
+
+def text_session(spark: SparkSession) -> SparkSession:
+    """A copy of the session, with its settings, that reads texts in bounded batches; the session itself is not changed."""
+    if spark.conf.get(_MARK, None):
+        return spark
+    out = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    # the caller's session stays the active and the default one
+    for name in ("_instantiatedSession", "_activeSession"):
+        setattr(SparkSession, name, spark)
+    spark._jvm.org.apache.spark.sql.classic.SparkSession.setDefaultSession(spark._jsparkSession)
+    spark._jvm.org.apache.spark.sql.classic.SparkSession.setActiveSession(spark._jsparkSession)
+    for k, v in BOUNDS.items():
+        out.conf.set(k, v)
+    out.conf.set(_MARK, "true")
+    return out
+
+
+def settle(spark: SparkSession) -> None:
+    """Give the session itself the bounds that it has no settings for: for a program whose session handles whole texts only.
+
+    A frame keeps the reader settings of the session that made it, so a program
+    that hands its own frames to the operators calls this.
+    """
+    own = spark.conf.getAll
+    for k, v in BOUNDS.items():
+        if k not in own:
+            spark.conf.set(k, v)
+
 
-#: Rows of an Arrow batch: whole texts, of which some are very long, must fit a worker's memory.
-BATCH_ROWS = 2000
+def bounded(df: DataFrame) -> DataFrame:
+    """The same frame in a ``text_session`` of its session."""
+    spark = text_session(df.sparkSession)
+    if spark is df.sparkSession:
+        return df
+    plan = df._jdf.queryExecution().analyzed()
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan), spark)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return text_session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def arrow_map(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` over bounded batches; a worker gives its free memory back when a task ends."""
+
+    def tidy(batches):
+        yield from run(batches)
+        _give_back()
+
+    return bounded(df).mapInArrow(tidy, schema)
+
+
+def _give_back() -> None:
+    """Workers live on from stage to stage: what a task has freed returns to the system (where the C library can be told)."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 class Scratch:
     """A folder of intermediate tables in the store that all executors share.
 
-    The place is ``spark.checkpoint.dir`` of the session; only where that is
-    unset (a local test) a temporary folder of this machine is used.  What is
-    written there survives the loss of any executor.  ``drop`` deletes a table
-    early; the rest goes when the Python process ends.
+    The place is ``spark.checkpoint.dir`` of the session.  Where that is unset,
+    a session in one process (a local test) uses a temporary folder of this
+    machine; a cluster is an error, as its executors would not see each other's
+    files.  What is written there survives the loss of any executor.  ``drop``
+    deletes a table early; the rest goes when the Python process ends.
     """
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
+        self.spark = text_session(spark)
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             base = tempfile.mkdtemp(prefix="wirefold-")
             atexit.register(shutil.rmtree, base, ignore_errors=True)
         self.root = f"{base.rstrip('/')}/wirefold-{label}-{uuid.uuid4().hex[:12]}"

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirefold.llm.common import blocks, mix, window_hashes, word_hashes
+from wirefold.llm.common import arrow_map, blocks, mix, window_hashes, word_hashes
 
 WIDTH = 6
 MIN_PLAIN = 4
@@ -159,7 +159,7 @@ def item_windows(benchmark: DataFrame, key: str = "item_id", text: str = "text")
         for b in batches:
             yield _rows(b.column(0), b.column(1).to_pylist(), "_item", None)[0]
 
-    return benchmark.select(F.col(key).alias("_item"), F.col(text).cast("string")).mapInArrow(run, f"_item {kind}, h long, pos int, slots array<string>")
+    return arrow_map(benchmark.select(F.col(key).alias("_item"), F.col(text).cast("string")), run, f"_item {kind}, h long, pos int, slots array<string>")
 
 
 def sieve_of(items: DataFrame) -> np.ndarray:
@@ -173,7 +173,7 @@ def sieve_of(items: DataFrame) -> np.ndarray:
 
     out = np.zeros(SIEVE_BITS // 8, np.uint8)
     # few tasks, so few bitmaps reach the driver, whatever the benchmark's size
-    for r in items.select("h").coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
+    for r in arrow_map(items.select("h").coalesce(8), run, "bits binary").toLocalIterator():
         out |= np.frombuffer(r[0], np.uint8)
     return out
 
@@ -276,7 +276,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: st
                 yield rows.append_column("row", pa.array(np.array(who, np.int64) + at))
                 at += part.num_rows
 
-    found = docs.select(F.col(key).alias("_doc"), F.col(text).cast("string")).mapInArrow(run, f"_doc {kind}, h long, pos int, slots array<string>, row long")
+    found = arrow_map(docs.select(F.col(key).alias("_doc"), F.col(text).cast("string")), run, f"_doc {kind}, h long, pos int, slots array<string>, row long")
     met = found.select("_doc", "h", "row", F.col("pos").alias("at"), F.col("slots").alias("theirs")).join(items, "h").where(F.size("theirs") == F.size("slots"))
     total = items.groupBy("_item").agg(F.countDistinct("pos").alias("item_windows"))
     met = met.groupBy("_doc", "_item").agg(F.collect_list(F.struct("row", "pos", "at", "slots", "theirs")).alias("met"))
@@ -294,7 +294,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: st
             parts = [pa.array([o[k] for o in out], pa.int64()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), parts[0], rows.column(2), parts[1], parts[2]], [key, item, "matched", "item_windows", "slots", "agreeing"])
 
-    return met.mapInArrow(judge, f"`{key}` {kind}, `{item}` {item_kind}, matched long, item_windows long, slots long, agreeing long")
+    return arrow_map(met, judge, f"`{key}` {kind}, `{item}` {item_kind}, matched long, item_windows long, slots long, agreeing long")
 
 
 # --- items without a usable window -------------------------------------------
@@ -369,7 +369,7 @@ def whole_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", it
         for b in batches:
             yield _whole_items(b.column(0), b.column(1).to_pylist())
 
-    items = benchmark.select(F.col(item).alias("_item"), F.col(text).cast("string")).mapInArrow(whole, f"_item {item_kind}, h long, n int, literal boolean, slots array<string>")
+    items = arrow_map(benchmark.select(F.col(item).alias("_item"), F.col(text).cast("string")), whole, f"_item {item_kind}, h long, n int, literal boolean, slots array<string>")
     lengths: dict[bool, list[int]] = {}
     for r in items.select("literal", "n").distinct().toLocalIterator():
         lengths.setdefault(r[0], []).append(r[1])
@@ -396,9 +396,9 @@ def whole_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", it
             rows, one = b.take(pa.array(keep, pa.int64())), pa.array([1] * len(keep), pa.int64())
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), one, one, pa.array(slots, pa.int64()), pa.array(agreeing, pa.int64())], [key, item, "matched", "item_windows", "slots", "agreeing"])
 
-    found = docs.select(F.col(key).alias("_doc"), F.col(text).cast("string")).mapInArrow(run, f"_doc {kind}, h long, theirs array<string>")
+    found = arrow_map(docs.select(F.col(key).alias("_doc"), F.col(text).cast("string")), run, f"_doc {kind}, h long, theirs array<string>")
     met = found.join(items, "h").where(F.size("theirs") == F.size("slots")).select("_doc", "_item", "slots", "theirs")
-    return met.mapInArrow(judge, f"`{key}` {kind}, `{item}` {item_kind}, matched long, item_windows long, slots long, agreeing long")
+    return arrow_map(met, judge, f"`{key}` {kind}, `{item}` {item_kind}, matched long, item_windows long, slots long, agreeing long")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:

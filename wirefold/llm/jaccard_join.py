@@ -53,7 +53,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirefold.llm.common import BLOCK_BYTES, Scratch, blocks, lowered, mix, shingle_sets
+from wirefold.llm.common import BLOCK_BYTES, Scratch, arrow_map, blocks, lowered, mix, shingle_sets
 
 WIDTH = 5
 SIMILAR = 80
@@ -75,8 +75,6 @@ MANY = 4
 FRUITFUL = 0.05
 #: Links up to this number (four megabytes) are joined to components in one task, more by rounds of joins.
 FEW_LINKS = 1 << 18
-#: Rows of an Arrow batch of pairs of texts.
-PAIR_ROWS = 256
 
 _U = np.uint64
 
@@ -224,7 +222,7 @@ def _levels(profile: DataFrame) -> np.ndarray:
 
     counts = profile.where("chunk is not null").select("chunk", "counts").repartition(COUNTERS // CHUNK, "chunk")
     out = np.zeros(COUNTERS, np.uint8)
-    for r in counts.mapInArrow(add, "chunk int, levels binary").toLocalIterator():
+    for r in arrow_map(counts, add, "chunk int, levels binary").toLocalIterator():
         out[r[0] * CHUNK : (r[0] + 1) * CHUNK] = np.frombuffer(zlib.decompress(r[1]), np.uint8)
     return out
 
@@ -365,14 +363,14 @@ class Join:
     def run(self) -> tuple[DataFrame, DataFrame]:
         """(id, n_shingles) of every row, and (id, comp) of documents that are not their group's smallest id."""
         keep = self.scratch.keep
-        table = keep(self.docs.mapInArrow(_profile, _PROFILE), "profile")
+        table = keep(arrow_map(self.docs, _profile, _PROFILE), "profile")
         profile = table.where("chunk is null").drop("chunk", "counts")
         self.sets = profile.where("id is not null and n_shingles > 0")
         packed = zlib.compress(_levels(table).tobytes(), 1)
-        keys = self.docs.mapInArrow(_keys_of(packed), _KEYS)
+        keys = arrow_map(self.docs, _keys_of(packed), _KEYS)
         # rows of a key meet, ready pairs go anywhere
         spread = F.xxhash64("key", F.coalesce("b", F.lit(0)))
-        stars = keys.repartition(spread).sortWithinPartitions("key", "a").mapInArrow(_stars, _KEYS)
+        stars = arrow_map(keys.repartition(spread).sortWithinPartitions("key", "a"), _stars, _KEYS)
         stars = keep(stars, "stars")
         del keys
         self.scratch.release()
@@ -393,22 +391,17 @@ class Join:
         side = lambda c: self.sets.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("same").alias(f"s{c}"), F.col("sketch").alias(f"k{c}"))
         both = pairs.join(side("b"), "b").join(side("a"), "a")
         both = both.select("a", "b", "na", "nb", (F.col("sa") == F.col("sb")).alias("same"), "ka", "kb")
-        checked = keep(both.mapInArrow(_sketch_check, "a long, b long, status int"), f"{name}-checked")
+        checked = keep(arrow_map(both, _sketch_check, "a long, b long, status int"), f"{name}-checked")
         links = checked.where("status = 1").select("a", "b")
         opened = checked.where("status = 0").select("a", "b")
         if not opened.isEmpty():
             texts = self.texts(opened, name)
             side = lambda c: texts.select(F.col("id").alias(c), F.col("packed").alias(f"t{c}"))
             met = opened.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb")
-            links = links.unionByName(met.mapInArrow(_text_check, "a long, b long"))
-        conf, rows = self.docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = conf.get(rows)
-        conf.set(rows, PAIR_ROWS)  # each row holds two whole texts
-        try:
-            return keep(links.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).select("a", "b"), f"{name}-links"), checked
-        finally:
-            conf.set(rows, before)
-            self.scratch.drop(f"{name}-texts")
+            links = links.unionByName(arrow_map(met, _text_check, "a long, b long"))
+        links = keep(links.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).select("a", "b"), f"{name}-links")
+        self.scratch.drop(f"{name}-texts")
+        return links, checked
 
     def texts(self, pairs: DataFrame, name: str) -> DataFrame:
         """Packed texts of the documents in pairs (and few others), found through a filter of fixed size."""
@@ -421,7 +414,7 @@ class Join:
             yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(out).tobytes(), 1)], pa.binary())], ["bits"])
 
         total = np.zeros(FILTER_BITS // 8, np.uint8)
-        for r in ids.coalesce(6).mapInArrow(bits, "bits binary").toLocalIterator():
+        for r in arrow_map(ids.coalesce(6), bits, "bits binary").toLocalIterator():
             total |= np.frombuffer(zlib.decompress(r[0]), np.uint8)
         packed = zlib.compress(total.tobytes(), 1)
 
@@ -434,7 +427,7 @@ class Join:
                 texts = [zlib.compress(lowered(t), 1) for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary())], ["id", "packed"])
 
-        return self.scratch.keep(self.docs.mapInArrow(find, "id long, packed binary"), f"{name}-texts")
+        return self.scratch.keep(arrow_map(self.docs, find, "id long, packed binary"), f"{name}-texts")
 
     def across(self, stars: DataFrame, checked: DataFrame, comps: DataFrame) -> DataFrame:
         """Components after all pairs across components that share a key have been checked.
@@ -506,9 +499,9 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     keep = scratch.keep
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     if edges.count() <= FEW_LINKS:
-        return keep(edges.coalesce(1).mapInArrow(_union, "u long, v long").select(F.col("u").alias("id"), F.col("v").alias("comp")), f"{name}-comps")
+        return keep(arrow_map(edges.coalesce(1), _union, "u long, v long").select(F.col("u").alias("id"), F.col("v").alias("comp")), f"{name}-comps")
     # what a task's links join already, it sends as stars
-    edges = edges.mapInArrow(_union, "u long, v long")
+    edges = arrow_map(edges, _union, "u long, v long")
     edges = keep(edges.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")).select("u", "v"), f"{name}-edges0")
     mark, step = _mark(edges), 0
     while True:

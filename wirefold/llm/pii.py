@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wirefold.llm.common import arrow_map
+
 #: Kinds in their listed order; the last one only the CRF finds.
 KINDS = ("email", "ip", "card", "phone", "secret")
 _RANK = {k: i for i, k in enumerate(KINDS)}
@@ -362,7 +364,7 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             )
 
     schema = f"`{key}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, schema)
+    return arrow_map(docs.select(F.col(key), F.col(text).cast("string")), run, schema)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -388,7 +390,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
             new = pa.array([clean(t) for t in b.column(at).to_pylist()], pa.string())
             yield b.set_column(at, b.schema.field(at).with_type(pa.string()), new)
 
-    return docs.mapInArrow(run, schema)
+    return arrow_map(docs, run, schema)
 
 
 def op1(docs: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from wirefold.llm.common import Scratch
+from wirefold.llm.common import Scratch, bounded, text_session
 
 FANOUT = 4
 SMALLEST = 64 << 10
@@ -52,7 +52,7 @@ class Shard:
 
 class Store:
     def __init__(self, spark: SparkSession, root: str, schema: StructType, target: int = TARGET, smallest: int = SMALLEST, fanout: int = FANOUT):
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+        self.spark, self.root, self.schema = text_session(spark), root.rstrip("/"), schema
         self.target, self.smallest, self.fanout = target, smallest, fanout
         self._jvm = spark._jvm
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -111,7 +111,7 @@ class Store:
     def _write(self, df: DataFrame) -> list[Shard]:
         """Write a frame as shards; their sizes and row counts."""
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(folder)
+        bounded(df).write.option("compression", "zstd").parquet(folder)
         found = (
             self.spark.read.schema(self.schema).parquet(folder).select("_metadata.file_path", "_metadata.file_size").groupBy("file_path", "file_size").agg(F.count(F.lit(1)).alias("n")).collect()
         )

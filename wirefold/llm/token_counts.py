@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wirefold.llm.common import arrow_map
+
 LIMIT = 1024
 #: Distinct pre-tokens that a worker remembers before it starts anew.
 MEMO = 300_000
@@ -107,7 +109,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, key: str = "doc
 
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     out = docs.select(F.col(key), F.octet_length(body).cast("long").alias("n_bytes"), body.alias("_text"))
-    out = out.mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_tokens long")
+    out = arrow_map(out, run, f"`{key}` {kind}, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 

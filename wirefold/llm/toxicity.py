@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirefold.llm.common import blocks, lowered, word_hashes
+from wirefold.llm.common import arrow_map, blocks, lowered, word_hashes
 
 BITS = 18
 MAX_TRAIN = 10_000
@@ -182,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), b.column(1)], ["words", "y"])
 
     # what the driver gets are the distinct words of each text
-    table = rows.select("_t", "_y").mapInArrow(gather, "words binary, y int").toArrow()
+    table = arrow_map(rows.select("_t", "_y"), gather, "words binary, y int").toArrow()
     return fit_words(table.column(0).to_pylist(), table.column(1).to_pylist())
 
 
@@ -200,7 +200,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 s = m.scores(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64())], [key, "score"])
 
-    out = docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, score double")
+    out = arrow_map(docs.select(F.col(key), F.col(text).cast("string")), run, f"`{key}` {kind}, score double")
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
