@@ -17,6 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wirefold.llm.common import bounded
+
+#: The characters between words.
+SPACES = " \t\n\x0b\f\r"
 SPACE = r"[\x20\x09-\x0D]+"
 
 #: The symbols that n_symbols counts.
@@ -51,7 +55,7 @@ POLICIES: dict[int, int] = {
 CURRENT = 3
 
 
-def _repeats(df: DataFrame) -> DataFrame:
+def _repeats(df: DataFrame, words: Column) -> DataFrame:
     """Add n_repeat_words: words covered by a 5-word window that the text holds twice or more.
 
     Window hashes of a text are compared in its own row.  Only where some
@@ -59,15 +63,13 @@ def _repeats(df: DataFrame) -> DataFrame:
     repeats, and the words they cover follow from the gaps between positions.
     """
     none = F.expr("cast(array() as array<bigint>)")
-    df = df.withColumn("_h", F.transform("_words", lambda w: F.xxhash64(w)))
+    df = df.withColumn("_h", F.transform(words, lambda w: F.xxhash64(w)))
+    df = df.withColumn("n_words", F.size("_h").cast("long"))
     df = df.withColumn(
         "_win",
         F.when(
             F.size("_h") >= 5,
-            F.transform(
-                F.sequence(F.lit(0), F.size("_h") - 5),
-                lambda i: F.xxhash64(*[F.get("_h", i + k) for k in range(5)]),
-            ),
+            F.transform(F.slice("_h", F.lit(1), F.size("_h") - 4), lambda h, i: F.xxhash64(h, *[F.get("_h", i + k) for k in range(1, 5)])),
         ).otherwise(none),
     )
     df = df.withColumn("_twice", F.size(F.array_distinct("_win")) < F.size("_win"))
@@ -103,22 +105,25 @@ def _without(text: str, chars: str) -> Column:
 
 
 def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: ``key``, the measurements, ``fail_bits``."""
-    df = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    df = df.withColumn("_words", F.filter(F.split("_text", SPACE), lambda w: w != ""))
+    """One row per document: ``key``, the measurements, ``fail_bits``.
+
+    A row holds its text once and, for a time, its words; what follows from
+    characters alone is measured on the text.
+    """
+    df = bounded(docs).select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     df = df.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     chars = F.length("_text").cast("long")
     df = df.select(
         key,
-        "_words",
-        F.size("_words").cast("long").alias("n_words"),
-        F.aggregate("_words", F.lit(0).cast("long"), lambda total, w: total + F.length(w)).alias("word_chars"),
+        F.btrim("_text", F.lit(SPACES)).alias("_text"),
+        F.length(_without("_text", SPACES)).cast("long").alias("word_chars"),
         (chars - F.length(_without("_text", SYMBOLS))).alias("n_symbols"),
         (chars - F.length(F.replace("_text", F.lit("!")))).alias("n_bangs"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
     )
-    df = _repeats(df)
+    words = F.when(F.col("_text") == "", F.expr("cast(array() as array<string>)")).otherwise(F.split("_text", SPACE))
+    df = _repeats(df, words)
     bits = F.lit(0).cast("long")
     for i, condition in enumerate(RULES.values()):
         bits = bits.bitwiseOR(F.when(F.expr(condition), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
