@@ -109,6 +109,20 @@ def test_words_cut_nowhere_that_a_piece_joins():
         assert sum((v.encode_word(w) for w in v.words(marked)), []) == v.encode_word(marked) == v.library.encode(text)
 
 
+def test_the_memo_is_bounded_by_bytes(monkeypatch):
+    rng = random.Random(1)
+    v = pieces.vocabulary(pieces.default_path())
+    monkeypatch.setattr(pieces, "MEMO_BYTES", 100_000)
+    e = pieces.as_text(v)
+    fresh = [" ".join("".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(400)) for _ in range(30)]
+    for t in [*fresh, "日本語の文 " * 40_000, "QWxhZGRpbjpvcGVuIHNlc2FtZQ" * 20_000, "!" * 70_000, *fresh[:3]]:
+        rows, differ = e.batch([t])
+        ids = v.library.encode(t)
+        assert differ == 0 and rows[0] == (",".join(map(str, ids)), len(ids), v.library.decode(ids))
+        size = sum(2 * len(w) + len(p) for m in (e.memo, e.older) for w, p in m.items())
+        assert size < 200_000 and max(map(len, [*e.memo, *e.older])) <= pieces.LONG
+
+
 def test_digests_and_ids(spark):
     import hashlib
 
