@@ -45,10 +45,56 @@ def test_archives_round_trip(spark, least, codec, block):
     assert sorted(got, key=str) == brute_records(PAGES, least)
 
 
+def test_reached_equals_a_walk():
+    import numpy as np
+
+    rng = random.Random(8)
+    for _ in range(200):
+        off = sorted(rng.sample(range(400), rng.randint(1, 60)))
+        nxt = [rng.choice([*off, 999, o + 1]) if rng.random() < 0.9 else 999 for o in off]
+        nxt = [n if n > o else 999 for o, n in zip(off, nxt)]
+        at, want = off[0], set()
+        while at in off:
+            want.add(at)
+            at = nxt[off.index(at)]
+        hit = warc.reached(np.array(off), np.array(nxt), off[0])
+        assert set(np.array(off)[hit].tolist()) == want
+
+
+def test_query_archives_have_several_blocks_and_no_file_wide_pairs(spark):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        df = spark.createDataFrame(PAGES, "page_id long, url string, html string").coalesce(1)
+        s = Scratch(spark, "test")
+        warc.write(df, s, s.path("a"))
+        assert warc.chunks(spark, s.path("a")).rdd.getNumPartitions() > 3
+        out = warc.records(spark, s.path("a"), s)
+        assert sorted(((r.page_id, r.payload_bytes, r.digest, r.type, r.refers_to) for r in out.collect()), key=str) == brute_records(PAGES, 0)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+        assert spark.read.parquet(s.path("reached1")).count() > 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_empty_archive(spark):
     assert warc.op2(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_sessions_keep_their_settings(spark, monkeypatch):
+    from wirefold.llm import common
+
+    before = dict(spark.conf.getAll)
+    df = common.bounded(spark.range(3))
+    assert df.sparkSession is not spark and common.bounded(df) is df and df.count() == 3
+    assert dict(spark.conf.getAll) == before and type(spark).getActiveSession() is spark
+    assert {k: df.sparkSession.conf.get(k) for k in common.BOUNDS} == common.BOUNDS
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        Scratch(spark, "test")
+
+
 def test_shards(spark):
     docs = read_table(spark, "/root/testdata/sf0.001", "documents")
     store = sharding.Store(spark, Scratch(spark, "test").path("store"), docs.schema, target=200_000, smallest=8_000)

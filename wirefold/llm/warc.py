@@ -6,18 +6,22 @@ others revisit it (no block, the payload's digest and length in the header).
 Pages are joined with the largest id of their digest; the digests' table is
 written first, so that the join reads two plain exchanges and adaptive
 execution can split a hot digest.  Spark's text writer puts the records into
-gzip files in the shared folder.
+files in the shared folder, uncompressed unless told otherwise: Spark splits
+such archives into blocks, so a large one is not a single task's work (gzip
+archives are read too, each as one block).
 
 Reader.  Spark's text source splits archives at the magic line, wherever it
 occurs.  Each task emits, for every such place with a readable header, a
 candidate: its offset and the offset of its successor by Content-Length.  A
 magic line inside a payload makes candidates too, but no chain from the start
-of the file leads there.  Candidates of a block are chained within the task;
-chains across blocks of a file are found by pointer jumping over block exits
-(the number of rounds is the logarithm of the blocks of a file).  Only
-reachable candidates are records.  A payload that holds the magic line is cut
-by the text source; such records, and no others, are read a second time and
-put together.
+of the file leads there.  Within a block, pointers to successors are doubled
+until every candidate knows where its chain leaves the block.  Across blocks
+the same is done on the few places where chains enter a block: pointer jumping
+from the file start, in as many rounds as the logarithm of the file's blocks.
+Of each block then those candidates are records that its entry reaches, again
+by doubling; all others are rejected.  A payload that holds the magic line is
+cut by the text source; such records, and no others, are read a second time and
+put together, joined with their parts on cells of ``CELL`` bytes.
 
 Edge cases: a null html is an empty payload; an empty payload has 0 bytes, so
 with ``min_bytes`` 0 empty pages revisit one another; a null page id counts as
@@ -25,7 +29,8 @@ smaller than any other, and if all ids of a payload are null all are
 responses; rows that repeat the largest page id of a payload are all
 responses; a null url has no target header, line breaks in a url are
 percent-encoded; an empty table gives an empty archive and an empty result;
-further columns are ignored.
+further columns are ignored, whatever their names; a payload of any length is
+one record, read whole by one task.
 """
 
 from __future__ import annotations
@@ -35,12 +40,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wirefold.llm.common import Scratch
+from wirefold.llm.common import Scratch, arrow_map, bounded, text_session
 
 MAGIC = "WARC/1.0\r\n"
+#: Records that hold magic lines are joined with their parts by cells of so many bytes of a file.
+CELL = 1 << 16
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -56,7 +63,7 @@ def base32(hexed: Column) -> Column:
 
 def with_types(pages: DataFrame, scratch: Scratch, min_bytes: int = 0) -> DataFrame:
     """page_id, url, payload and its digest, record_type and refers_to of every page."""
-    rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("payload"))
+    rows = bounded(pages).select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("payload"))
     rows = rows.withColumn("sha", F.sha1(F.col("payload").cast("binary")))
     rows = rows.withColumn("n", F.octet_length("payload").cast("long"))
     groups = rows.where(F.col("n") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("_rows"))
@@ -96,7 +103,7 @@ def record(url: Column) -> Column:
     )
 
 
-def write(pages: DataFrame, scratch: Scratch, path: str, min_bytes: int = 0, compression: str = "gzip") -> None:
+def write(pages: DataFrame, scratch: Scratch, path: str, min_bytes: int = 0, compression: str = "none") -> None:
     with_types(pages, scratch, min_bytes).select(record(F.col("url")).alias("value")).write.mode("overwrite").option("compression", compression).text(path)
 
 
@@ -135,7 +142,6 @@ _FOUND = pa.schema(
         ("off", pa.int64()),
         ("next", pa.int64()),
         ("exit", pa.int64()),
-        ("known", pa.bool_()),
         ("covered", pa.int64()),
         ("body", pa.int64()),
         ("type", pa.string()),
@@ -184,22 +190,11 @@ class _Block:
         nxt = np.array([r[1] for r in rows], np.int64)
         # pointer jumping inside the block: `jump` doubles until every chain has left the block or broken off
         last = self.at - len(MAGIC)
-        to = np.searchsorted(off, nxt)
-        inside = (to < len(off)) & (off[np.minimum(to, max(len(off) - 1, 0))] == nxt) if len(off) else np.zeros(0, bool)
-        jump = np.where(inside, to, np.arange(len(off)))
-        while len(off) and (jump != (twice := jump[jump])).any():
+        jump = successors(off, nxt)
+        while (jump != (twice := jump[jump])).any():
             jump = twice
-        ends = nxt[jump] if len(off) else nxt
-        known = np.zeros(len(off), bool)
-        if self.start == 0 and len(off) and off[0] == 0:
-            i = 0
-            while True:
-                known[i] = True
-                if not inside[i]:
-                    break
-                i = to[i]
         # a chain that stops short of the block's last magic line has broken off: it has no exit
-        ends = np.where(ends >= last, ends, -1)
+        ends = np.where(nxt[jump] >= last, nxt[jump], -1)
         k = len(rows)
         by = list(zip(*rows)) if rows else [()] * 10
         return pa.RecordBatch.from_arrays(
@@ -209,7 +204,6 @@ class _Block:
                 pa.array([*by[0], None], pa.int64()),
                 pa.array([*by[1], None], pa.int64()),
                 pa.array([*ends.tolist(), None], pa.int64()),
-                pa.array([*known.tolist(), False], pa.bool_()),
                 pa.array([None] * k + [self.at], pa.int64()),  # the last row tells how far the block reaches
                 pa.array([*by[2], None], pa.int64()),
                 pa.array([*by[3], None], pa.string()),
@@ -224,9 +218,30 @@ class _Block:
         )
 
 
+def successors(off: np.ndarray, nxt: np.ndarray) -> np.ndarray:
+    """Index of each candidate's successor (``off`` rises), its own where the successor is not among them."""
+    if not len(off):
+        return np.zeros(0, np.int64)
+    to = np.searchsorted(off, nxt)
+    inside = off[np.minimum(to, len(off) - 1)] == nxt
+    return np.where(inside, to, np.arange(len(off)))
+
+
+def reached(off: np.ndarray, nxt: np.ndarray, entry: int) -> np.ndarray:
+    """Which candidates the one at ``entry`` reaches: all that are marked jump, and jumps double, until no more are marked."""
+    hit = off == entry
+    jump = successors(off, nxt)
+    while True:
+        n = np.count_nonzero(hit)
+        hit[jump[hit]] = True
+        if np.count_nonzero(hit) == n:
+            return hit
+        jump = jump[jump]
+
+
 def chunks(spark: SparkSession, path: str) -> DataFrame:
     """The archives' bytes, cut at each magic line, with file and block."""
-    return spark.read.option("lineSep", MAGIC).text(path).select(F.col("value").cast("binary"), "_metadata.file_path", "_metadata.file_block_start")
+    return text_session(spark).read.option("lineSep", MAGIC).text(path).select(F.col("value").cast("binary"), "_metadata.file_path", "_metadata.file_block_start")
 
 
 def _candidates(batches):
@@ -243,68 +258,64 @@ def _candidates(batches):
         yield block.table()
 
 
-def _walk(key, table):
-    """Records of one block that lie on the chain from its entry."""
-    rows = table.sort_by("off")
-    off, nxt = rows.column("off").to_numpy(), rows.column("next").to_numpy()
-    at, hit = rows.column("entry")[0].as_py(), []
-    while (i := int(np.searchsorted(off, at))) < len(off) and off[i] == at:
-        hit.append(i)
-        at = nxt[i]
-    return rows.take(pa.array(hit, pa.int64())).drop_columns(["entry"])
-
-
 def records(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
     """Every record that the chains from the files' starts reach.
 
     Columns: file, off, type, page_id, payload_bytes, digest (of the payload as
     read; a revisit's as claimed), claimed, refers_to.
     """
-    ddl = "file string, block long, off long, next long, exit long, known boolean, covered long, body long, type string, page_id long, refers_to long, payload_bytes long, digest string, claimed string, open boolean"
-    found = scratch.keep(chunks(spark, path).mapInArrow(_candidates, ddl), "candidates")
-    sizes = found.where("covered is not null").select("file", "block", "covered")
-    rows = found.where("covered is null").drop("covered")
-    several = sizes.groupBy("file").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if several > 1:
-        rows = _across(rows, sizes, scratch, several)
-    else:
-        rows = rows.where("known")
-    rows = rows.select("file", "off", "next", "body", "type", "page_id", "refers_to", "payload_bytes", "digest", "claimed", "open")
-    if found.where("open").isEmpty():
+    ddl = "file string, block long, off long, next long, exit long, covered long, body long, type string, page_id long, refers_to long, payload_bytes long, digest string, claimed string, open boolean"
+    found = scratch.keep(arrow_map(chunks(spark, path), _candidates, ddl), "candidates")
+    bases = _bases(found.where("covered is not null").select("file", "block", "covered"))
+    rows = found.where("covered is null").drop("covered").join(bases, ["file", "block"])
+    rows = rows.withColumns({c: F.col(c) + F.col("base") for c in ("off", "next", "body")} | {"exit": F.when(F.col("exit") >= 0, F.col("exit") + F.col("base"))}).drop("base")
+    rows = scratch.keep(_verified(rows, bases, scratch), "records")
+    if rows.where("open").isEmpty():
         return rows.drop("next", "body", "open")
-    whole = _put_together(spark, path, rows.where("open"), sizes, scratch)
+    whole = _put_together(spark, path, rows.where("open"), bases, scratch)
     rows = rows.join(whole, ["file", "off"], "left")
     return rows.withColumn("digest", F.coalesce("digest", "joined")).drop("next", "body", "open", "joined")
 
 
 def _bases(sizes: DataFrame) -> DataFrame:
     """Where each block's first chunk lies in its file (a file has few blocks)."""
-    return sizes.alias("a").join(sizes.alias("b"), (F.col("a.file") == F.col("b.file")) & (F.col("b.block") < F.col("a.block")), "left").groupBy(F.col("a.file").alias("file"), F.col("a.block").alias("block")).agg(F.coalesce(F.sum("b.covered"), F.lit(0)).alias("base"))
-
-
-def _across(rows: DataFrame, sizes: DataFrame, scratch: Scratch, several: int) -> DataFrame:
-    """Records of files of several blocks: entries of blocks by pointer jumping, then each block's chain."""
-    rows = rows.join(_bases(sizes), ["file", "block"])
-    for c in ("off", "next", "body"):
-        rows = rows.withColumn(c, F.col(c) + F.col("base"))
-    rows = rows.withColumn("exit", F.when(F.col("exit") >= 0, F.col("exit") + F.col("base")))
-    rows = scratch.keep(rows.drop("base"), "placed")
-    jump = rows.where("exit is not null").select("file", "off", F.col("exit").alias("to"))
-    reached = rows.select("file").distinct().withColumn("off", F.lit(0).cast("long"))
-    step = 1
-    while step < 2 * several:
-        more = reached.join(jump, ["file", "off"]).select("file", F.col("to").alias("off"))
-        reached = scratch.keep(reached.unionByName(more).distinct(), f"reached{step}")
-        second = jump.select("file", F.col("off").alias("to"), F.col("to").alias("far"))
-        jump = scratch.keep(jump.join(second, ["file", "to"]).select("file", "off", F.col("far").alias("to")), f"jump{step}")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select("file", "block", F.coalesce(F.sum("covered").over(before), F.lit(0)).alias("base"))
+
+
+def _verified(rows: DataFrame, bases: DataFrame, scratch: Scratch) -> DataFrame:
+    """The candidates that the chain from their file's start reaches."""
+    rows = scratch.keep(rows, "placed")
+    blocks = bases.groupBy("file").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    # chains enter a block at offset 0 of the file, or where one of another block leaves it: a few places a block
+    start = rows.select("file").distinct().withColumn("off", F.lit(0).cast("long"))
+    places = start.unionByName(rows.where("exit is not null").select("file", F.col("exit").alias("off")).distinct()).distinct()
+    jump = scratch.keep(rows.select("file", "block", "off", "exit").join(places, ["file", "off"]), "entries")
+    into = jump.select("file", "block", "off")
+    jump = jump.where("exit is not null").select("file", "off", F.col("exit").alias("to"))
+    hit, step = start, 1
+    while step < 2 * blocks:
+        more = hit.join(jump, ["file", "off"]).select("file", F.col("to").alias("off"))
+        hit = scratch.keep(hit.unionByName(more).distinct(), f"reached{step}")
+        if 2 * step < 2 * blocks:
+            second = jump.select("file", F.col("off").alias("to"), F.col("to").alias("far"))
+            jump = scratch.keep(jump.join(second, ["file", "to"]).select("file", "off", F.col("far").alias("to")), f"jump{step}")
         step *= 2
-    entries = rows.join(reached, ["file", "off"]).select("file", "block", F.col("off").alias("entry"))
-    schema = rows.schema
-    return rows.join(entries, ["file", "block"]).groupBy("file", "block").applyInArrow(lambda key, t: _walk(key, t.select([*schema.names, "entry"])), schema)
+    entries = into.join(hit, ["file", "off"]).select("file", "block", F.col("off").alias("entry"))
+
+    def chain(key, table):
+        t = table.sort_by("off")
+        off, nxt = t.column("off").to_numpy(), t.column("next").to_numpy()
+        return t.filter(pa.array(reached(off, nxt, t.column("entry")[0].as_py()))).drop_columns(["entry", "block", "exit"])
+
+    held = rows.join(entries, ["file", "block"])
+    columns = [c for c in rows.columns if c not in ("block", "exit")]
+    return held.groupBy("file", "block").applyInArrow(lambda key, t: chain(key, t).select(columns), rows.select(columns).schema)
 
 
-def _put_together(spark: SparkSession, path: str, opened: DataFrame, sizes: DataFrame, scratch: Scratch) -> DataFrame:
+def _put_together(spark: SparkSession, path: str, opened: DataFrame, bases: DataFrame, scratch: Scratch) -> DataFrame:
     """Digests of payloads that hold the magic line: their chunks are read again and joined in order."""
+    kept = pa.schema([("file", pa.string()), ("block", pa.int64()), ("at", pa.int64()), ("chunk", pa.binary())])
 
     def place(batches):
         key, at = None, 0
@@ -315,14 +326,15 @@ def _put_together(spark: SparkSession, path: str, opened: DataFrame, sizes: Data
                     key, at = (file, start), 0
                 out.append((file, start, at, chunk.as_buffer().to_pybytes()))
                 at += len(out[-1][3]) + len(MAGIC)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.binary()))], ["file", "block", "at", "chunk"]) if out else pa.RecordBatch.from_pylist([], pa.schema([("file", pa.string()), ("block", pa.int64()), ("at", pa.int64()), ("chunk", pa.binary())]))
-
-    opened = scratch.keep(opened.select("file", "off", "next", "body", "payload_bytes"), "open")
-    files = opened.select("file").distinct()
-    parts = chunks(spark, path).mapInArrow(place, "file string, block long, at long, chunk binary").join(files, "file", "left_semi")
-    parts = parts.join(_bases(sizes), ["file", "block"]).withColumn("at", F.col("at") + F.col("base"))
-    # a chunk belongs to the record whose span holds its first byte
-    held = parts.join(opened, "file").where((F.col("at") > F.col("off")) & (F.col("at") < F.col("next")))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, kept.types)], schema=kept)
+
+    # a chunk belongs to the record whose span holds its first byte; spans are cut into cells, so that both sides have a key
+    cell = lambda c: F.floor(F.col(c) / CELL)
+    spans = opened.select("file", "off", "next", "body", "payload_bytes", F.explode(F.sequence(cell("off"), cell("next"))).alias("cell"))
+    spans = scratch.keep(spans, "open")
+    parts = arrow_map(chunks(spark, path), place, "file string, block long, at long, chunk binary")
+    parts = parts.join(bases, ["file", "block"]).withColumn("at", F.col("at") + F.col("base")).withColumn("cell", cell("at"))
+    held = parts.join(spans, ["file", "cell"]).where((F.col("at") > F.col("off")) & (F.col("at") < F.col("next")))
 
     def join(key, table):
         t = table.sort_by("at")
