@@ -91,6 +91,7 @@ def test_sessions_keep_their_settings(spark, monkeypatch):
     assert dict(spark.conf.getAll) == before and type(spark).getActiveSession() is spark
     assert {k: df.sparkSession.conf.get(k) for k in common.BOUNDS} == common.BOUNDS
     monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         Scratch(spark, "test")
 
