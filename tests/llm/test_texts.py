@@ -86,6 +86,92 @@ def test_spans_of_many_tokens(text, found):
     assert pii.joined(pii.find(text, pii.trained())[1]) == found
 
 
+def labellings(cuts, reach):
+    """All labellings of tokens: lists of (first cut, last cut, label), O for single tokens."""
+
+    def rest(i):
+        if i == len(cuts) - 1:
+            yield []
+            return
+        for tail in rest(i + 1):
+            yield [(i, i + 1, 0), *tail]
+        for j in range(i + 1, min(len(cuts) - 1, i + reach) + 1):
+            for tail in rest(j):
+                for k in range(1, len(pii.LABELS)):
+                    yield [(i, j, k), *tail]
+
+    return rest(0)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["415", "(", ") ", "-", "555", "0199", "+1 ", "4111111111111111", ".", "12", "a1@b.co", " ", "24be64439e3e49cf46b2d7c90f3602a3"]), min_size=1, max_size=5), st.sampled_from(["call ", "token ", "", "see "]))
+def test_decoding_equals_enumeration(parts, before):
+    text = before + "".join(parts)
+    m = pii.trained()
+    lo, hi = len(before), len(text)
+    cuts = pii._cuts(text, lo, hi)
+    if len(cuts) > 7:
+        return
+    score = {}
+    for i in range(len(cuts)):
+        for j in range(i + 1, len(cuts)):
+            names = pii.features(text, cuts[i], cuts[j])
+            score[i, j] = m.score(names) if names != ["none"] else None
+    total = lambda segs: sum(score[i, j][k] for i, j, k in segs if k)
+    best = max(total(x) for x in labellings(cuts, 9) if all(not k or score[i, j] is not None for i, j, k in x))
+    got = [(cuts.index(a), cuts.index(b), pii.LABELS.index(k)) for a, b, k in m.decode(text, lo, hi)]
+    assert abs(total(got) - best) < 1e-9
+
+
+def test_marginals_equal_enumeration():
+    import numpy as np
+
+    rng = np.random.RandomState(2)
+    for n in (1, 3, 4):
+        segs = [(i, j) for i in range(n) for j in range(i + 1, n + 1) if rng.rand() < 0.8]
+        s = rng.randn(len(segs), len(pii.KINDS))
+        mass, z = np.zeros_like(s), 0.0
+        for x in labellings(list(range(n + 1)), n):
+            if all(not k or (i, j) in segs for i, j, k in x):
+                w = np.exp(sum(s[segs.index((i, j)), k - 1] for i, j, k in x if k))
+                z += w
+                for i, j, k in x:
+                    if k:
+                        mass[segs.index((i, j)), k - 1] += w
+        assert np.allclose(pii.marginals(n, segs, s), mass / z)
+
+
+def test_bounds_are_above_every_score():
+    rng = random.Random(6)
+    m = pii.trained()
+    for _ in range(3000):
+        text = rng.choice(["", "call ", "visa "]) + "".join(rng.choice(["+", "(", ")", " ", "-", ".", "/", "1", "23", "415", "5550", "4111111111111111"]) for _ in range(rng.randint(1, 12))) + rng.choice(["", "x"])
+        a = len(text) - len(text.lstrip("calvis "))
+        names = pii.features(text, a, len(text)) if a < len(text) else ["none"]
+        n = next((int(f[7:]) for f in names if f.startswith("digits=")), None)
+        if n is None:
+            continue
+        g = next(int(f[7:]) for f in names if f.startswith("groups="))
+        assert m.bounds[n, g, "plus" in names, "(" in text[a:], bool(pii.cues_before(text, a))] >= m.score(names)[1:].max() - 1e-9
+
+
+@pytest.mark.parametrize("text, base", [("0" * 5000 + ".1.2.3 and 1.2.3." + "0" * 4400 + "4", 2), ("1." * 3 + "9" * 5000, 0), ("+" + "1" * 5000, 0), ("7" * 6000 + "@b.co", 1)])
+def test_very_long_digit_runs(text, base):
+    assert len(pii.find(text, pii.trained())[0]) == base
+
+
+@pytest.mark.parametrize("part", ["1-", "a.", "a1-", "a@", "(1) ", "a.b@c.", "x (at) ", "0", "-a", "phone 1 "])
+def test_search_time_grows_with_the_length(part):
+    import time
+
+    m, times = pii.trained(), []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        pii.find(part * (n // len(part)), m)
+        times.append(time.process_time() - began)
+    assert times[1] < 8 * times[0] + 0.3
+
+
 # --- pieces and counts
 
 
