@@ -5,7 +5,8 @@ ordered by the score of the piece they would make (then from the left), merges
 them until no pair is a piece.  Unknown characters fall back to byte pieces.
 
 Two adjacent characters that stand together in no piece can never be merged,
-so a text may be cut there.  With a vocabulary that has no piece with a blank
+so a text may be cut there.  (Pieces and texts are compared with a blank for
+the library's blank mark.)  With a vocabulary that has no piece with a blank
 mark after another character, and none with a line break, that makes words
 (and cuts off punctuation that no piece has behind a letter); each distinct one is encoded once per worker and the text's
 ids are the joined ids of its words.  A word of more than ``LONG`` characters
@@ -41,9 +42,9 @@ from wirefold.llm.common import BLOCK_BYTES, arrow_map, blocks
 
 MARK = "▁"
 #: Bytes of words, ids and their places in the memo that a worker holds; words that were not met lately make room.
-MEMO_BYTES = 64 << 20
-#: What an entry costs besides its ids and two bytes a character.
-ENTRY = 220
+MEMO_BYTES = 96 << 20
+#: What an entry costs besides its characters and ids.
+ENTRY = 190
 #: Words of more characters are cut further and not remembered.
 LONG = 64
 
@@ -71,23 +72,24 @@ class Vocabulary:
             elif lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i):
                 self.shown.append("" if lib.is_control(i) else " ⁇ ")
             else:
-                self.scores[piece], self.ids[piece] = lib.get_score(i), i
-                self.shown.append(piece.replace(MARK, " "))
+                shown = piece.replace(MARK, " ")
+                self.scores[shown], self.ids[shown] = lib.get_score(i), i
+                self.shown.append(shown)
         #: Pieces by falling score, as ranks: a smaller one merges first.
         order = {score: r for r, score in enumerate(sorted(set(self.scores.values()), reverse=True))}
         self.ranks = {p: order[score] for p, score in self.scores.items()}
         self.pairs = pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self.cuts = not any(x != MARK and y == MARK or "\n" in (x, y) for x, y in pairs)
+        self.cuts = not any(x != " " and y == " " or "\n" in (x, y) for x, y in pairs)
         letter = re.compile(LETTER)
         after = "".join(c for c in PUNCTUATION if not any(y == c and letter.match(x) for x, y in pairs))
         if self.cuts:
-            apart = f"{MARK}*{LETTER}+(?=[{re.escape(after)}])|" if after else ""
-            self.words = re.compile(rf"{apart}{MARK}*[^{MARK}\n]+|{MARK}+|\n").findall
+            apart = f" *{LETTER}+(?=[{re.escape(after)}])|" if after else ""
+            self.words = re.compile(rf"{apart} *[^ \n]+| +|\n").findall
         else:
             self.words = lambda text: [text]
 
     def encode_word(self, word: str) -> list[int]:
-        """Ids of a stretch of text in which blanks are marks already."""
+        """Ids of a stretch of text; a blank in it is a mark."""
         get, n = self.ranks.get, len(word)
         # rank, then place, in one number
         agenda = [rank << 32 | i for i in range(n - 1) if (rank := get(word[i : i + 2])) is not None]
@@ -213,7 +215,7 @@ class Encoder:
         v, memo, older, odd, pack, glue = self.vocab, self.memo, self.older, self.odd, self.pack, self.glue
         split = []
         for t in texts:
-            words = v.words(MARK + t.replace(" ", MARK)) if t else []
+            words = v.words(" " + t.replace(MARK, " ")) if t else []
             if v.cuts and words and len(max(words, key=len)) > LONG:
                 words = [p for w in words for p in (v.parts(w) if len(w) > LONG else (w,))]
             split.append(words)
@@ -224,29 +226,29 @@ class Encoder:
                     new.append(w)
                 else:
                     memo[w] = packed
-                    self.held += 2 * len(w) + len(packed) + ENTRY
+                    self.held += len(w) + len(packed) + ENTRY
         once = []  # words too long to be remembered
         differ = 0
         for lo, hi in blocks(new, len, BLOCK_BYTES >> 2):
             part = new[lo:hi]
             ids = [v.encode_word(w) for w in part]
             if not v.cuts or not v.agrees(part, ids):
-                theirs = v.library_ids(part) if v.cuts else [v.library.encode(w[1:].replace(MARK, " ")) for w in part]
+                theirs = v.library_ids(part) if v.cuts else [v.library.encode(w[1:]) for w in part]
                 differ += sum(a != b for a, b in zip(ids, theirs))
                 ids = theirs
             for w, own in zip(part, ids):
                 memo[w] = packed = pack(own)
                 shown = v.decode_words(own)
-                if shown != w.replace(MARK, " "):
+                if shown != w:
                     odd[w] = shown
                 if len(w) > LONG:
                     once.append(w)
                 else:
-                    self.held += 2 * len(w) + len(packed) + ENTRY
+                    self.held += len(w) + len(packed) + ENTRY
         out = []
         for words in split:
             ids = glue.join([memo[w] for w in words])
-            text = "".join([odd.get(w, w) for w in words] if odd else words).replace(MARK, " ")
+            text = "".join([odd.get(w, w) for w in words] if odd else words)
             out.append((ids, self.count(ids), text[1:] if text[:1] == " " else text))
         for w in once:
             del memo[w]
