@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from wirefold import errors, functions
-from wirefold.functions import decoder, from_protobuf, to_protobuf
+from wirefold.functions import decode, decoder, from_protobuf, to_protobuf
 from wirefold.plans.frame import ProtoFrame
 from wirefold.queries import ORACLE, QUERIES
 from wirefold.queries.messages import SET, descriptor_file, encoded, lines, table
@@ -75,11 +75,68 @@ def test_pruning_can_be_switched_off(spark):
     assert decoder("Line", descriptor_file(), fields=["l_orderkey"]).pruned_schema is None
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_one_decode_for_filter_and_projection(spark):
     binary = spark.range(9).selectExpr("cast('' as binary) as data")
-    df = binary.select(from_protobuf("data", "Line", binaryDescriptorSet=SET).alias("p")).filter("p.l_quantity is null").select("p.l_orderkey")
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("ArrowEvalPython") == 1 and df.count() == 9
+    for df in (
+        binary.select(from_protobuf("data", "Line", binaryDescriptorSet=SET, deterministic=False).alias("p")).filter("p.l_quantity is null").select("p.l_orderkey"),
+        decode(binary, "data", "Line", binaryDescriptorSet=SET, name="p").filter("p.l_quantity is null").select("p.l_orderkey"),
+    ):
+        assert plan_of(df).count("ArrowEvalPython") == 1 and df.count() == 9
+
+
+@pytest.fixture(scope="module")
+def customers(spark, tmp_path_factory):
+    place = str(tmp_path_factory.mktemp("messages") / "customers.parquet")
+    encoded(table(spark, SF, "customer"), "Customer").select("c_custkey", "c_nationkey", "data").write.parquet(place)
+    return place
+
+
+def test_filters_on_ordinary_columns_reach_the_scan(spark, customers):
+    df = spark.read.parquet(customers)
+    nation = table(spark, SF, "nation")
+    made = decode(df, "data", "Customer", binaryDescriptorSet=SET, name="p")
+    frame = ProtoFrame(df, "data", "Customer", binaryDescriptorSet=SET)
+    ways = [
+        df.withColumn("p", from_protobuf("data", "Customer", binaryDescriptorSet=SET)).where("c_nationkey = 3").select("p.c_name"),
+        made.where("c_nationkey = 3").select("p.c_name"),
+        made.where("p.c_acctbal > 0 AND c_nationkey = 3").select("p.c_name"),
+        made.join(nation, F.col("p.c_nationkey") == F.col("n_nationkey")).where("c_nationkey = 3").select("p.c_name", "n_name"),
+        frame.filter("proto.c_acctbal > 0 AND c_nationkey = 3").select("proto.c_name"),
+        frame.filter("c_nationkey = 3").join(nation, "proto.c_nationkey = n_nationkey", "proto.c_name", "n_name"),
+        frame.filter("c_nationkey = 3").group(["proto.c_mktsegment"], n="count(1)"),
+    ]
+    want = spark.read.parquet(f"{SF}/customer.parquet").where("c_nationkey = 3")
+    for df in ways:
+        plan = plan_of(df)
+        assert "EqualTo(c_nationkey,3)" in plan and plan.count("ArrowEvalPython") == 1, plan
+        # nothing that fails the filter is decoded
+        assert plan.index("ArrowEvalPython") < plan.index("c_nationkey#", plan.index("ArrowEvalPython"))
+    assert ways[0].count() == ways[1].count() == want.count() and ways[2].count() == ways[4].count() == want.where("c_acctbal > 0").count()
+
+
+def test_decode_replaces_a_column_of_its_name(spark):
+    df = encoded(table(spark, SF, "nation"), "Nation").select("n_nationkey", "data")
+    out = decode(df, "data", "Nation", SET, name="data")
+    assert out.columns == ["n_nationkey", "data"] and out.where("data.n_name is not null").count() == 25
+    bad = spark.range(2).select(F.when(F.col("id") == 0, F.unhex(F.lit("FFFFFF"))).alias("data"))
+    assert [r.proto for r in decode(bad, "data", "Nation", SET, {"mode": "PERMISSIVE"}).collect()] == [None, None]
+
+
+def test_sql_on_demand_wants_literals(spark):
+    from wirefold.functions.sql import protobuf_sql
+
+    encoded(table(spark, SF, "nation"), "Nation").select("data").createOrReplaceTempView("m")
+    with pytest.raises(errors.AnalysisError, match="at least 2 arguments"):
+        protobuf_sql(spark, "SELECT from_protobuf(data) FROM m")
+    with pytest.raises(errors.AnalysisError, match="literal string for message name"):
+        protobuf_sql(spark, "SELECT from_protobuf(data, concat('Na', 'tion')) FROM m")
+    path = descriptor_file()
+    assert protobuf_sql(spark, f"SELECT x.n_name FROM (SELECT from_protobuf (data , 'Nation', '{path}', 'more') AS x FROM m) WHERE x.n_name <> 'to_protobuf(' /* from_protobuf( */").count() == 25
+    assert protobuf_sql(spark, "SELECT 'from_protobuf(a)' AS `from_protobuf(b)`").columns == ["from_protobuf(b)"]
 
 
 def test_signatures(spark):

@@ -189,3 +189,13 @@ def test_columnar_typed_equals_the_runtime(data, dialect):
     want = runtime.decode_column(column, kind, runtime.row_decoder(d, kind, dialect, lambda: True))
     same = lambda v: {k: sorted(x, key=repr) if k in ("counts", "parts") and x is not None else x for k, x in v.items()} if isinstance(v, dict) else v
     assert list(map(repr, map(same, got.to_pylist()))) == list(map(repr, map(same, want.to_pylist())))
+
+
+def test_offsets_do_not_wrap():
+    import numpy as np
+
+    from wirefold.operators.wire import offsets_of
+
+    assert offsets_of(np.array([1, 2], np.int32)).tolist() == [0, 1, 3]
+    with pytest.raises(OverflowError, match="maxRecordsPerBatch"):
+        offsets_of(np.array([2**30, 2**30], np.int32))

@@ -28,10 +28,6 @@ def null_array_element(path):
     return AnalysisError(f"Null element encountered in non‑nullable array at {path}")
 
 
-def null_map_value(path):
-    return AnalysisError(f"Null map value encountered in non‑nullable map at {path}")
-
-
 def cannot_convert_sql_to_message(kind, name):
     return AnalysisError(f"Cannot convert SQL type '{kind}' to Protobuf message '{name}'")
 
@@ -132,3 +128,7 @@ def not_a_literal(what, other):
 
 def unknown_path(path):
     return AnalysisError(f"No field at path '{path}' in the message's schema")
+
+
+def batch_too_large(size):
+    return OverflowError(f"an Arrow batch of messages has {size} bytes or elements, over 2^31; lower spark.sql.execution.arrow.maxRecordsPerBatch or set spark.sql.execution.arrow.maxBytesPerBatch")

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark import SparkContext
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,11 +72,14 @@ class Decoder:
 
         return run
 
-    def udf(self, deterministic: bool = False):
+    def udf(self, deterministic: bool = True):
         """An Arrow UDF; a fresh one each time, as marking changes the object.
 
-        Not deterministic for the optimizer, so that a filter and a projection
-        over one decode do not run it twice.
+        Deterministic, so that filters on ordinary columns move below it and
+        reach the scan.  A filter or join on the decoded struct then decodes
+        once for itself and once more for the rows that pass; marked
+        non-deterministic, a decode is made once for both, but stops every
+        filter.  ``decode`` and ``ProtoFrame`` have neither fault.
         """
         run = self.function()
 
@@ -86,7 +89,7 @@ class Decoder:
         out = F.arrow_udf(from_protobuf, self.schema)
         return out if deterministic else out.asNondeterministic()
 
-    def __call__(self, data: Column | str, deterministic: bool = False) -> Column:
+    def __call__(self, data: Column | str, deterministic: bool = True) -> Column:
         return self.udf(deterministic)(_column(data))
 
 
@@ -148,7 +151,7 @@ def from_protobuf(
     messageName=None,
     fields: Iterable[str] | None = None,
     dialect: str | None = None,
-    deterministic: bool = False,
+    deterministic: bool = True,
 ) -> Column:
     """Decode a binary column of messages to a struct.
 
@@ -157,11 +160,38 @@ def from_protobuf(
     set), or a generated Python class or its dotted path in ``messageType``
     (dialect "generated").  ``fields`` lists dotted paths; with the "wire"
     dialect only these are decoded, and the struct holds no others.
+    ``deterministic=False`` makes one decode serve filters on the struct and
+    projections alike, at the price that no filter moves below it.
     """
     made = decoder(messageType, descFilePath, options, binaryDescriptorSet, messageName=messageName, fields=fields, dialect=dialect)
     return made(data, deterministic)
 
 
+def decode(
+    df: DataFrame,
+    data: str,
+    messageType=None,
+    descFilePath: str | bytes | None = None,
+    options: Mapping[str, str] | None = None,
+    binaryDescriptorSet: bytes | None = None,
+    *,
+    name: str = "proto",
+    messageName=None,
+    fields: Iterable[str] | None = None,
+    dialect: str | None = None,
+) -> DataFrame:
+    """``df`` with the messages of its column ``data`` as one more column, the struct ``name`` (a column of that name is replaced).
+
+    The struct comes out of a generator over an array of one.  Spark moves
+    filters on other columns below a generator, down to the scan, and filters
+    and joins on its result never into it: a row that passes the former is
+    decoded, once.
+    """
+    made = decoder(messageType, descFilePath, options, binaryDescriptorSet, messageName=messageName, fields=fields, dialect=dialect)
+    kept = [F.col(f"`{c}`") for c in df.columns if c != name]
+    return df.select(*kept, F.inline_outer(F.array(F.struct(made(F.col(f"`{data}`")).alias(name)))))
+
+
 def _encode(column: pa.Array, files: bytes, name: str, strict: bool, case_sensitive: bool) -> pa.Array:
     """Encode a column with an encoder that is made once in each worker thread."""
     made = _local.__dict__.setdefault("encoders", {})

@@ -1,8 +1,13 @@
 """SQL names for decode and encode.
 
 A Python UDF's result type is fixed when it is registered, so one SQL name
-decodes one message type.  For a type chosen in the query there is a table
-function whose schema follows from its literal arguments:
+decodes one message type.  ``protobuf_sql`` runs a query in which any number of
+types are named, as literals; it registers a name for each on demand:
+
+    protobuf_sql(spark, "SELECT from_protobuf(data, 'Person', '/path/x.desc').name FROM t")
+
+For plain ``spark.sql`` there is a table function whose schema follows from its
+literal arguments:
 
     SELECT * FROM decode_protobuf(TABLE(SELECT * FROM t), 'data', 'Person', '/path/x.desc')
 """
@@ -10,17 +15,19 @@ function whose schema follows from its literal arguments:
 from __future__ import annotations
 
 import datetime
+import re
+import zlib
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from wirefold import errors
 from wirefold.functions import Decoder, decoder, encoder_udf
-from wirefold.operators import runtime
 from wirefold.sources.descriptors import Source, resolve
 
 
@@ -75,27 +82,40 @@ class DecodeProtobuf:
         source = found.source
         return Analyzed(schema=T.StructType([*table.fields, *found.schema.fields]), files=source.files, name=source.name, kind=source.kind, dialect=found.dialect)
 
+    #: Messages that are decoded together.
+    ROWS = 1024
+
     def __init__(self, analyzed: AnalyzeResult):
-        self._read = _row_reader(Decoder(Source(analyzed.files, analyzed.name, analyzed.kind), analyzed.dialect))
+        self._read = _reader(Decoder(Source(analyzed.files, analyzed.name, analyzed.kind), analyzed.dialect))
+        self._rows: list[tuple] = []
+        self._raw: list[bytes | None] = []
 
     def eval(self, row, column, *_):
-        yield (*row, *self._read(row[column]))
+        self._rows.append(tuple(row))
+        self._raw.append(None if row[column] is None else bytes(row[column]))
+        if len(self._rows) >= self.ROWS:
+            yield from self._flush()
+
+    def terminate(self):
+        yield from self._flush()
 
+    def _flush(self):
+        rows, raw = self._rows, self._raw
+        self._rows, self._raw = [], []
+        for row, values in zip(rows, self._read(raw) if rows else ()):
+            yield (*row, *values)
 
-def _row_reader(made: Decoder):
-    """From bytes to the values of a row's fields."""
-    names = made.schema.names
-    decode = runtime.row_decoder(made.source.descriptor, made.schema, made.dialect, made.options.permissive)
-    zero = datetime.datetime(1970, 1, 1)
+
+def _reader(made: Decoder):
+    """From messages to the values of their fields, by the columnar decoder."""
+    run, fields = made.function(), made.schema.fields
 
     def shaped(value, kind):
         """A decoded value as rows of a Python table function hold it."""
         if value is None:
             return None
         if isinstance(kind, T.TimestampType):
-            return zero + datetime.timedelta(microseconds=value)
-        if isinstance(kind, T.DayTimeIntervalType):
-            return datetime.timedelta(microseconds=value)
+            return value.astimezone(datetime.timezone.utc).replace(tzinfo=None) if value.tzinfo else value
         if isinstance(kind, T.StructType):
             return tuple(shaped(value[f.name], f.dataType) for f in kind.fields)
         if isinstance(kind, T.ArrayType):
@@ -104,16 +124,73 @@ def _row_reader(made: Decoder):
             return {k: shaped(v, kind.valueType) for k, v in value}
         return value
 
-    def read(raw):
-        found = decode(None if raw is None else bytes(raw))
-        return (None,) * len(names) if found is None else shaped(found, made.schema)
+    def read(raw: list[bytes | None]):
+        for found in run(pa.array(raw, pa.binary())).to_pylist():
+            yield (None,) * len(fields) if found is None else tuple(shaped(found[f.name], f.dataType) for f in fields)
 
     return read
 
 
+# --- names on demand ---------------------------------------------------------
+
+#: What a query's text consists of: strings, quoted names, comments, words, and single characters.
+_PART = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/|\w+|\s+|.""", re.DOTALL)
+_CALLS = ("from_protobuf", "to_protobuf")
+
+
+def _literal_text(part: str, what: str) -> str:
+    part = part.strip()
+    m = _PART.fullmatch(part)
+    if not m or part[:1] not in ("'", '"'):
+        raise errors.not_a_literal(what, part or "nothing")
+    mark = part[0]
+    return re.sub(r"\\(.)", r"\1", part[1:-1].replace(mark * 2, mark))
+
+
+def _rewritten(spark: SparkSession, text: str) -> str:
+    parts = _PART.findall(text)
+    out, i = [], 0
+    while i < len(parts):
+        word, i = parts[i], i + 1
+        k = i
+        while k < len(parts) and parts[k].isspace():
+            k += 1
+        if word.lower() not in _CALLS or (len(out) and out[-1] == ".") or k == len(parts) or parts[k] != "(":
+            out.append(word)
+            continue
+        args, depth, i = [""], 1, k + 1
+        while i < len(parts) and depth:
+            p, i = parts[i], i + 1
+            depth += (p in "([") - (p in ")]") if len(p) == 1 else 0
+            if depth == 1 and p == ",":
+                args.append("")
+            elif depth:
+                args[-1] += p
+        if depth or len(args) < 2 or not args[0].strip():
+            raise errors.too_few_arguments(word.lower())
+        message = _literal_text(args[1], "message name")
+        path = _literal_text(args[2], "descriptor file path") if len(args) > 2 else None
+        name = f"{word.lower()}_{zlib.crc32(repr((message, path)).encode()):08x}"
+        if word.lower() == _CALLS[0]:
+            register_message(spark, name, message, path)
+        else:
+            register_encoder(spark, name, message, path)
+        out.append(f"{name}({_rewritten(spark, args[0])})")
+    return "".join(out)
+
+
+def protobuf_sql(spark: SparkSession, text: str) -> DataFrame:
+    """``spark.sql`` for queries that call from_protobuf and to_protobuf (data, 'Message'[, 'descriptor file']).
+
+    Without a file the message is a dotted path of a message class.  Further
+    arguments are ignored.  Strings, quoted names and comments are left alone.
+    """
+    return spark.sql(_rewritten(spark, text))
+
+
 def register_functions(spark: SparkSession) -> None:
     """Register the table function ``decode_protobuf``."""
     spark.udtf.register("decode_protobuf", udtf(DecodeProtobuf))
 
 
-__all__ = ["DecodeProtobuf", "register_encoder", "register_functions", "register_message"]
+__all__ = ["DecodeProtobuf", "protobuf_sql", "register_encoder", "register_functions", "register_message"]

@@ -20,7 +20,7 @@ from google.protobuf.descriptor import Descriptor, FieldDescriptor
 from pyspark.sql.pandas.types import from_arrow_type
 
 from wirefold import errors
-from wirefold.operators.wire import _WIRE_TYPE, BYTES, FIXED64, VARINT, spread
+from wirefold.operators.wire import _WIRE_TYPE, BYTES, FIXED64, VARINT, offsets_of, spread
 from wirefold.plans.schema import is_map, well_known
 
 F = FieldDescriptor
@@ -163,11 +163,9 @@ class Encoder:
 
     def column(self, array: pa.StructArray) -> pa.Array:
         size, data = self.rows(array)
-        offsets = np.concatenate([[0], np.cumsum(size)])
-        if offsets[-1] >= 1 << 31:
-            raise OverflowError("an Arrow batch of messages exceeds 2 GiB; lower spark.sql.execution.arrow.maxRecordsPerBatch")
+        offsets = offsets_of(size)
         valid = pa.py_buffer(np.packbits(_valid(array), bitorder="little").tobytes()) if array.null_count else None
-        return pa.Array.from_buffers(pa.binary(), len(array), [valid, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+        return pa.Array.from_buffers(pa.binary(), len(array), [valid, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
 
     def field(self, array: pa.Array, f: FieldDescriptor, n: int, null: np.ndarray | None) -> list[Piece]:
         if pa.types.is_null(array.type):

@@ -424,7 +424,7 @@ class _Level:
         else:
             values, bad = decode(self.buf, columns[0], columns[1], f.child)
             self.bad[rows[bad]] = True
-        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        offsets = offsets_of(counts)
         return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array(counts == 0))
 
 
@@ -432,10 +432,18 @@ def _plain(values: np.ndarray, arrow: pa.DataType, seen: np.ndarray | None) -> p
     return pa.array(values, arrow, mask=None if seen is None else ~seen)
 
 
+def offsets_of(sizes: np.ndarray) -> np.ndarray:
+    """32-bit offsets of values end to end, which Spark's columns have."""
+    out = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    if out[-1] >= 1 << 31:
+        raise errors.batch_too_large(int(out[-1]))
+    return out.astype(np.int32)
+
+
 def _blobs(buf: np.ndarray, starts: np.ndarray, stops: np.ndarray, arrow: pa.DataType, seen: np.ndarray | None) -> pa.Array:
     """Byte ranges as strings or binaries; strings are not checked, as the bytes are copied as they are."""
     size = stops - starts
-    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    offsets = offsets_of(size)
     data = buf[spread(starts, size)]
     valid = None if seen is None else pa.py_buffer(np.packbits(seen, bitorder="little").tobytes())
     return pa.Array.from_buffers(arrow, len(starts), [valid, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])

@@ -1,8 +1,10 @@
 """A frame over a message column that decodes only what its query uses.
 
 Spark cannot narrow the struct that a Python function returns, so the pruning
-is done before the plan is made: the frame collects the fields that its filters
-and projections name, decodes their union once, and leaves the rest to Spark.
+is done before the plan is made: the frame collects the fields that its filters,
+projections, joins and groupings name, decodes their union once, and leaves the
+rest to Spark.  Conditions on ordinary columns move below the decode, so they
+reach the scan and rows that fail them are never decoded.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wirefold import errors
-from wirefold.functions import decoder
+from wirefold.functions import decode, decoder
 from wirefold.plans.prune import check_paths, required_paths
 
 
@@ -54,21 +56,42 @@ class ProtoFrame:
                 out.add(path)
         return sorted(out)
 
-    def decoder_for(self, expressions: Iterable[str]):
-        """The decoder that a selection would use; its pruned_schema shows what is decoded."""
+    def fields_of(self, expressions: Iterable[str]) -> list[str]:
+        """Fields that expressions and the frame's conditions name."""
         paths = self.paths([*expressions, *self.conditions])
         check_paths(self.full_schema, paths)
+        return paths
+
+    def decoder_for(self, expressions: Iterable[str]):
+        """The decoder that a selection would use; its pruned_schema shows what is decoded."""
+        paths = self.fields_of(expressions)
         return decoder(**self.how, fields=None if "" in paths else paths)
 
+    def _frame(self, expressions: Iterable[str]) -> DataFrame:
+        """The filtered frame with the struct of the fields that expressions and conditions name."""
+        paths = self.fields_of(expressions)
+        out = decode(self.df, self.data, **self.how, name=self.name, fields=None if "" in paths else paths)
+        for c in self.conditions:
+            out = out.filter(c)
+        return out
+
     def select(self, *expressions: str) -> DataFrame:
         if not expressions:
             raise errors.IllegalArgument("nothing selected")
-        made = self.decoder_for(expressions)
-        kept = [F.col(f"`{c}`") for c in self.df.columns if c != self.name]
-        out = self.df.select(*kept, made(F.col(f"`{self.data}`")).alias(self.name))
-        for c in self.conditions:
-            out = out.filter(c)
-        return out.selectExpr(*expressions)
+        return self._frame(expressions).selectExpr(*expressions)
+
+    def group(self, keys: Iterable[str], **aggregates: str) -> DataFrame:
+        """Aggregates (SQL expressions by name) by keys (SQL expressions); only their fields are decoded."""
+        keys = list(keys)
+        if not aggregates:
+            raise errors.IllegalArgument("nothing selected")
+        return self._frame([*keys, *aggregates.values()]).groupBy(*map(F.expr, keys)).agg(*[F.expr(e).alias(n) for n, e in aggregates.items()])
+
+    def join(self, other: DataFrame, condition: str, *expressions: str, how: str = "inner") -> DataFrame:
+        """Join with a frame whose columns have other names, and select; only fields that the condition or the selection names are decoded."""
+        if not expressions:
+            raise errors.IllegalArgument("nothing selected")
+        return self._frame([condition, *expressions]).join(other, F.expr(condition), how).selectExpr(*expressions)
 
     def decoded(self) -> DataFrame:
         """The frame with the whole struct."""
@@ -80,8 +103,7 @@ def staged_decode(df: DataFrame, data: str, condition: str, fields: Iterable[str
     first = ProtoFrame(df, data, name="_stage", **how)
     rule = re.sub(rf"(?<![\w.`]){re.escape(name)}(?=\s*\.)", "_stage", condition)
     passed = first.filter(rule).select(*[f"`{c}`" for c in df.columns])
-    made = decoder(**how, fields=list(fields))
-    return passed.withColumn(name, made(F.col(f"`{data}`")))
+    return decode(passed, data, **how, name=name, fields=list(fields))
 
 
 __all__ = ["ProtoFrame", "staged_decode"]

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wirefold import errors
-from wirefold.functions import from_protobuf, to_protobuf
-from wirefold.functions.sql import register_encoder, register_functions, register_message
+from wirefold.functions import decode, decoder, from_protobuf, to_protobuf
+from wirefold.functions.sql import protobuf_sql, register_encoder, register_functions, register_message
 from wirefold.plans.frame import ProtoFrame, staged_decode
 from wirefold.queries.messages import OLD, PROTO2, SET, TREE, descriptor_file, encoded, lines, orders, table
 from wirefold.queries.registry import query
@@ -18,7 +18,7 @@ ALL_LINES = f"SELECT {', '.join(LINE)}, epoch_us(l_shipdate)::BIGINT AS l_shipda
 
 
 def wire(df, message, data="data", name="m", **how):
-    return df.withColumn(name, from_protobuf(data, message, binaryDescriptorSet=SET, **how))
+    return decode(df, data, message, binaryDescriptorSet=SET, name=name, **how)
 
 
 @query(ALL_LINES)
@@ -175,7 +175,7 @@ def _summed(df):
 
 @query(MAPS)
 def map_typed(spark, d):
-    m = orders(spark, d).select(from_protobuf("data", "Order", descriptor_file()).alias("m"))
+    m = decode(orders(spark, d), "data", "Order", descriptor_file(), name="m")
     return _summed(m.select("m.o_orderkey", F.col("m.quantities").alias("q")))
 
 
@@ -237,7 +237,7 @@ WAITS = "SELECT l_orderkey, l_linenumber, ((epoch_us(l_shipdate) // 1000) - (epo
 
 @query(WAITS)
 def duration_interval(spark, d):
-    m = orders(spark, d).select(from_protobuf("data", "Order", descriptor_file()).alias("m"))
+    m = decode(orders(spark, d), "data", "Order", descriptor_file(), name="m")
     x = m.select(F.col("m.o_orderkey").alias("l_orderkey"), F.posexplode(F.arrays_zip(F.col("m.waits").alias("w"), F.col("m.lines.l_linenumber").alias("l"))).alias("i", "x"))
     return x.select("l_orderkey", F.col("x.l").alias("l_linenumber"), F.expr("cast(extract(day from x.w) as bigint) * 86400000 + extract(hour from x.w) * 3600000 + extract(minute from x.w) * 60000 + cast(extract(second from x.w) * 1000 as bigint)").alias("ms"))
 
@@ -362,7 +362,7 @@ def unknown_field_skip(spark, d):
 @query("SELECT 'Malformed Protobuf message detected during parsing' AS text")
 def typed_mismatch_fails(spark, d):
     path = descriptor_file(OLD)
-    text = _message_of(lambda: lines(spark, d).select(from_protobuf("data", "Line", path).getField("l_orderkey")).collect())
+    text = _message_of(lambda: lines(spark, d).select(from_protobuf("data", "Line", path).getField("l_orderkey")).write.format("noop").mode("overwrite").save())
     return spark.createDataFrame([(text,)], "text string")
 
 
@@ -432,6 +432,20 @@ def sql_udtf(spark, d):
     return spark.sql(f"SELECT k, c_name, c_mktsegment FROM decode_protobuf(TABLE(SELECT * FROM customer_messages), 'data', 'Customer', '{descriptor_file()}')")
 
 
+@query("SELECT o_orderkey, o_orderpriority, c_name, 'from_protobuf(x)' AS note FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 100000")
+def sql_on_demand(spark, d):
+    """Two message types, encoded and decoded by one query's text."""
+    path = descriptor_file().replace("'", "''")
+    table(spark, d, "customer").createOrReplaceTempView("sql_customers")
+    table(spark, d, "orders").createOrReplaceTempView("sql_orders")
+    return protobuf_sql(
+        spark,
+        f"""SELECT o.o_orderkey, p AS o_orderpriority, m.c_name, 'from_protobuf(x)' AS note -- from_protobuf(
+        FROM (SELECT o_custkey, o_orderpriority AS p, From_Protobuf(to_protobuf(struct(o_orderkey, o_totalprice), 'Order', '{path}'), 'Order', '{path}') AS o FROM sql_orders) AS t
+        JOIN (SELECT c_custkey AS k, from_protobuf(to_protobuf(struct(c_name), 'Customer', '{path}'), 'Customer', '{path}') AS m FROM sql_customers) ON k = o_custkey WHERE o.o_totalprice > 100000""",
+    )
+
+
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def typed_messages(spark, d):
     cls = message_class(SET, "shop.Nation")
@@ -506,3 +520,95 @@ def wide_message_typed(spark, d):
 @query("SELECT o_orderkey, o_custkey + 7 AS long_007 FROM orders")
 def wide_message_pruned(spark, d):
     return _wide(spark, d).select("o_orderkey", from_protobuf("data", "Wide", binaryDescriptorSet=WIDE, fields=["long_007"]).getField("long_007").alias("long_007"))
+
+
+# --- frames over messages ----------------------------------------------------
+
+
+@query("SELECT c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 100 AND c_custkey % 2 = 0")
+def frame_join(spark, d):
+    """A condition on an ordinary column reaches the scan; the join and the selection name what is decoded."""
+    c = encoded(table(spark, d, "customer"), "Customer").select("c_custkey", "data")
+    f = ProtoFrame(c, "data", "Customer", binaryDescriptorSet=SET).filter("proto.c_acctbal > 100 AND c_custkey % 2 = 0")
+    return f.join(table(spark, d, "nation"), "coalesce(proto.c_nationkey, 0) = n_nationkey", "proto.c_name AS c_name", "n_name")
+
+
+@query("SELECT c_mktsegment AS seg, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer WHERE c_nationkey < 10 GROUP BY 1")
+def frame_group(spark, d):
+    c = encoded(table(spark, d, "customer"), "Customer").select("c_nationkey", "data")
+    f = ProtoFrame(c, "data", "Customer", binaryDescriptorSet=SET).where("c_nationkey < 10")
+    return f.group(["proto.c_mktsegment AS seg"], n="count(1)", total="round(sum(proto.c_acctbal), 2)")
+
+
+# --- encoders with options, descriptors, wire rules --------------------------
+
+
+@query("SELECT n_nationkey, n_name AS by_file, n_name AS by_class, n_name AS by_set FROM nation")
+def encode_with_options(spark, d):
+    """The options of the three encoders are accepted and not used."""
+    n, o = F.struct("n_name"), {"mode": "PERMISSIVE", "recursive.fields.max.depth": "3"}
+    path, cls = descriptor_file(), message_class(SET, "shop.Nation")
+    made = table(spark, d, "nation").select("n_nationkey", to_protobuf(n, "Nation", path, o).alias("f"), to_protobuf(n, cls, options=o).alias("c"), to_protobuf(n, "Nation", options=o, binaryDescriptorSet=SET).alias("b"))
+    read = lambda c: from_protobuf(c, "Nation", binaryDescriptorSet=SET).getField("n_name")
+    return made.select("n_nationkey", read("f").alias("by_file"), read("c").alias("by_class"), read("b").alias("by_set"))
+
+
+@query("SELECT 'missing' AS what, 'shop/stamps.proto' AS named")
+def descriptor_dependencies(spark, d):
+    """A set whose files need one that it does not hold names that file."""
+    from google.protobuf import descriptor_pb2
+
+    files = descriptor_pb2.FileDescriptorSet.FromString(define("lone", {"Lone": [("id", 1, "int64")]}))
+    files.file[0].dependency.append("shop/stamps.proto")
+    raw = files.SerializeToString()
+    text = _error(lambda: from_protobuf("id", "Lone", binaryDescriptorSet=raw))
+    named = "shop/stamps.proto" if "shop/stamps.proto" in text and "ependency" in text else text
+    return spark.createDataFrame([("missing", named)], "what string, named string")
+
+
+@query("SELECT c_custkey, c_name AS any_case, 'ambiguous' AS both FROM customer")
+def encode_name_matching(spark, d):
+    """Names match in any case unless the session is case-sensitive; two that match one field are an error."""
+    c = table(spark, d, "customer")
+    m = c.select("c_custkey", to_protobuf(F.struct(F.col("c_name").alias("C_Name")), "Customer", binaryDescriptorSet=SET).alias("data"))
+    text = _message_of(lambda: c.limit(1).select(to_protobuf(F.struct(F.col("c_name").alias("C_NAME"), F.col("c_name")), "Customer", binaryDescriptorSet=SET)).collect())
+    both = "ambiguous" if "mbiguous" in text or "ultiple" in text or "everal" in text else text
+    return m.select("c_custkey", from_protobuf("data", "Customer", binaryDescriptorSet=SET).getField("c_name").alias("any_case"), F.lit(both).alias("both"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 3 = 0 AS lost FROM orders")
+def nested_limit(spark, d):
+    """A nested message that claims more bytes than its parent has is malformed."""
+    o = table(spark, d, "orders").select("o_orderkey")
+    bad = F.unhex(F.lit("2A7F0801"))  # field 5, 127 bytes announced, 2 there
+    good = to_protobuf(F.struct(F.struct(F.col("o_orderkey").alias("c_custkey")).alias("customer")), "Order", binaryDescriptorSet=SET)
+    m = o.withColumn("data", F.when(F.col("o_orderkey") % 3 == 0, bad).otherwise(good))
+    m = wire(m, "Order", options={"mode": "PERMISSIVE"}, fields=["customer.c_custkey"])
+    return m.select("o_orderkey", (F.coalesce(F.col("m.customer.c_custkey"), F.lit(-1)) != F.col("o_orderkey")).alias("lost"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def group_skip(spark, d):
+    """An unknown group before a message's own fields is passed over."""
+    group = F.unhex(F.lit("BB06" + "0805" + "BC06"))  # field 103: start, a varint, end
+    n = encoded(table(spark, d, "nation"), "Nation", ["n_name"])
+    m = wire(n.withColumn("data", F.concat(group, "data")), "Nation", fields=["n_name"])
+    return m.select("n_nationkey", F.col("m.n_name").alias("n_name"))
+
+
+@query("SELECT count(*) AS n, 0 AS fields, count(*) AS present FROM nation")
+def empty_schema(spark, d):
+    """A message type without fields is a struct without fields."""
+    raw = define("bare", {"Bare": []})
+    m = encoded(table(spark, d, "nation"), "Nation").select(from_protobuf("data", "Bare", binaryDescriptorSet=raw).alias("m"))
+    width = len(m.schema["m"].dataType.fields)
+    return m.agg(F.count(F.lit(1)).alias("n"), F.lit(width).alias("fields"), F.count_if(F.col("m").isNotNull()).alias("present"))
+
+
+@query("SELECT 'Customer' AS message, 'c_acctbal, c_custkey, c_mktsegment, c_nationkey' AS left_out, 'struct<c_name:string>' AS schema")
+def plan_inspection(spark, d):
+    """What a decoder tells of itself."""
+    made = decoder("Customer", binaryDescriptorSet=SET, fields=["c_name"])
+    text = made.explain()
+    left = text.split("not decoded: ")[1].strip()
+    return spark.createDataFrame([("Customer" if "Customer" in text else text, left, made.schema.simpleString())], "message string, left_out string, schema string")

@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from wirefold.functions import from_protobuf
+from wirefold.functions import decode, from_protobuf, to_protobuf
 from wirefold.queries.messages import SET, encoded, lines, table
 from wirefold.queries.registry import query
 from wirefold.sources.scratch import scratch_dir
-from wirefold.streaming import decode_stream, drain, sessions, windowed
+from wirefold.streaming import decode_stream, drain, matched, running, sessions, windowed
 
 
 def _decoded(spark, d, name, message, fields):
-    df = encoded(table(spark, d, name), message, fields)
-    return df.select(from_protobuf("data", message, binaryDescriptorSet=SET, fields=fields).alias("m")).select("m.*")
+    return decode(encoded(table(spark, d, name), message, fields), "data", message, binaryDescriptorSet=SET, fields=fields, name="m").select("m.*")
 
 
 def _lines(spark, d, *fields):
-    return lines(spark, d).select(from_protobuf("data", "Line", binaryDescriptorSet=SET, fields=fields).alias("m")).select("m.*")
+    return decode(lines(spark, d), "data", "Line", binaryDescriptorSet=SET, fields=fields, name="m").select("m.*")
 
 
 def _customers(spark, d, *fields):
@@ -70,17 +71,20 @@ def join_range(spark, d):
     return c.join(r, "bucket").groupBy("r_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-ASOF = """SELECT event_id, (epoch_us(max(ts) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)) // 1000)::BIGINT AS ms FROM events"""
+ASOF = """WITH e AS (SELECT event_id, user_id, value, epoch_us(ts) // 1000 AS t FROM events),
+    p AS (SELECT user_id, t, max(event_id) AS before, arg_max(value, event_id) AS value FROM e GROUP BY user_id, t)
+    SELECT e.event_id, p.t::BIGINT AS ms, p.before, p.value FROM e ASOF LEFT JOIN p ON e.user_id = p.user_id AND e.t > p.t"""
 
 
 @query(ASOF)
 def join_asof(spark, d):
-    """Each event with the latest earlier one of its user: an ordered running maximum, not a join of all pairs."""
-    m = encoded(table(spark, d, "events"), "Event", ["event_id", "ts", "user_id"]).select(from_protobuf("data", "Event", binaryDescriptorSet=SET).alias("m"))
-    e = m.select(F.coalesce("m.event_id", F.lit(0)).alias("event_id"), F.coalesce("m.user_id", F.lit(0)).alias("user_id"), F.expr("m.ts.seconds * 1000 + coalesce(m.ts.nanos, 0) div 1000000").alias("t"))
+    """Each event with the latest earlier one of its user (of those of one instant the one with the largest id): an ordered running maximum, not a join of all pairs."""
+    m = decode(encoded(table(spark, d, "events"), "Event", ["event_id", "ts", "user_id", "value"]), "data", "Event", binaryDescriptorSet=SET, name="m")
+    e = m.select(F.coalesce("m.event_id", F.lit(0)).alias("event_id"), F.coalesce("m.user_id", F.lit(0)).alias("user_id"), "m.value", F.expr("m.ts.seconds * 1000 + coalesce(m.ts.nanos, 0) div 1000000").alias("t"))
     # rows of the same instant are not earlier: the frame ends one millisecond before
     w = Window.partitionBy("user_id").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
-    return e.select("event_id", F.max("t").over(w).alias("ms"))
+    found = e.select("event_id", F.max(F.struct("t", F.col("event_id").alias("before"), F.col("value").alias("value"))).over(w).alias("p"))
+    return found.select("event_id", F.col("p.t").alias("ms"), F.col("p.before").alias("before"), F.col("p.value").alias("value"))
 
 
 GROUPS = "SELECT coalesce(l_returnflag, 'all') AS flag, coalesce(l_linestatus, 'all') AS status, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY "
@@ -149,7 +153,7 @@ def distinct_agg(spark, d):
 
 @query("SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey")
 def repartitioned(spark, d):
-    m = lines(spark, d).repartition(8).select(from_protobuf("data", "Line", binaryDescriptorSet=SET, fields=["l_suppkey"]).alias("m"))
+    m = decode(lines(spark, d).repartition(8), "data", "Line", binaryDescriptorSet=SET, fields=["l_suppkey"], name="m")
     return m.groupBy("m.l_suppkey").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -178,6 +182,19 @@ def _stream(spark, d):
     return stream.select(when, "proto.event_type", "proto.value", F.coalesce("proto.user_id", F.lit(0)).alias("user_id")), folder
 
 
+def _parts(spark, d, n, *fields):
+    """The events as a stream of n micro-batches: first those whose id is divisible by n, then those with remainder 1, and so on; many are late."""
+    folder = scratch_dir(spark)
+    e = encoded(table(spark, d, "events"), "Event", ["event_id", "ts", "user_id", "event_type", "value"]).select("event_id", "data")
+    for k in range(n):
+        # one file each, so that a micro-batch of one file is one part
+        e.where(F.col("event_id") % n == k).select("data").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    source = spark.readStream.schema("data binary").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    stream = decode_stream(source, "data", "Event", binaryDescriptorSet=SET, fields=["ts", *fields])
+    when = F.expr("timestamp_micros(proto.ts.seconds * 1000000 + coalesce(proto.ts.nanos, 0) div 1000)").alias("ts")
+    return stream.select(when, *[F.coalesce(f"proto.{f}", F.lit(0)).alias(f) if f in ("user_id", "event_id") else F.col(f"proto.{f}") for f in fields]), folder
+
+
 def _plain_time(df, *columns):
     return df.select(*[F.unix_micros(c).alias(c) if c in columns else F.col(c) for c in df.columns])
 
@@ -214,3 +231,111 @@ def stream_stateless(spark, d):
     stream, folder = _stream(spark, d)
     return drain(stream.where("value > 50").select("event_type", "value"), folder, "append")
 
+
+
+LATE = """WITH e AS (SELECT epoch_us(date_trunc('hour', ts))::BIGINT AS w, epoch_us(ts) // 1000 * 1000 AS t, event_type, event_id % 3 AS part FROM events),
+    m AS (SELECT max(t) FILTER (WHERE part = 0) - 600000000 AS first, max(t) - 600000000 AS last FROM e)
+    SELECT w AS window_start, event_type, count(*) AS n FROM e, m WHERE (part < 2 OR w + 3600000000 > first) AND w + 3600000000 <= last GROUP BY 1, 2"""
+
+
+@query(LATE)
+def stream_late_rows(spark, d):
+    """Append mode: only windows that the watermark has closed come out, and later rows of theirs are dropped.
+
+    Rows count as late by the watermark that the batch before went by, so the
+    third part's are held against the first part's latest time.
+    """
+    stream, folder = _parts(spark, d, 3, "event_type")
+    return _plain_time(drain(windowed(stream, "ts", "1 hour", "event_type", n=F.count(F.lit(1))), folder, "append"), "window_start")
+
+
+@query(
+    """WITH e AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) // 1000 AS t FROM events)
+    SELECT a.event_id AS bought, b.event_id AS seen FROM e a JOIN e b ON a.user_id = b.user_id AND b.t >= a.t AND b.t <= a.t + 3600000
+    WHERE a.event_id % 2 = 0 AND b.event_id % 2 = 1"""
+)
+def stream_join(spark, d):
+    """Two streams of messages, matched by user within an hour."""
+    sides = []
+    folder = scratch_dir(spark)
+    for k, (name, time) in enumerate((("bought", "at"), ("seen", "later"))):
+        e = encoded(table(spark, d, "events").where(F.col("event_id") % 2 == k), "Event", ["event_id", "ts", "user_id"]).select("data")
+        e.write.parquet(f"{folder}/in{k}")
+        side = decode_stream(spark.readStream.schema("data binary").parquet(f"{folder}/in{k}"), "data", "Event", binaryDescriptorSet=SET, fields=["event_id", "ts", "user_id"])
+        when = F.expr("timestamp_micros(proto.ts.seconds * 1000000 + coalesce(proto.ts.nanos, 0) div 1000)")
+        sides.append(side.select(F.coalesce("proto.event_id", F.lit(0)).alias(name), when.alias(time), F.coalesce("proto.user_id", F.lit(0)).alias("user_id")))
+    return drain(matched(*sides, "user_id", "at", "later", "1 HOUR").select("bought", "seen"), folder, "append")
+
+
+@query(
+    """WITH e AS (SELECT user_id, value, event_id % 2 AS half FROM events), k AS (SELECT unnest([0, 1]) AS batch)
+    SELECT batch, user_id, count(value) AS n, round(sum(value), 4) AS total, max(value) AS most FROM k JOIN e ON half <= batch
+    GROUP BY 1, 2 HAVING count(*) FILTER (WHERE half = batch) > 0"""
+)
+def stream_state(spark, d):
+    """State of each user across micro-batches, after each batch."""
+    stream, folder = _parts(spark, d, 2, "user_id", "value")
+    out = drain(running(stream, "user_id", "value"), folder, "update")
+    return out.select("batch", "user_id", "n", F.round("total", 4).alias("total"), "most")
+
+
+# --- dates, merged messages, conditions without equality ----------------------
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, year(l_shipdate)::INTEGER AS y, month(l_shipdate)::INTEGER AS m, dayofyear(l_shipdate)::INTEGER AS doy, strftime(l_shipdate, '%Y-%m-%d') AS day,
+    date_diff('day', o_orderdate::DATE, l_shipdate::DATE)::INTEGER AS days, strftime(date_trunc('month', l_shipdate) + INTERVAL 1 MONTH, '%Y-%m-%d') AS next_month
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+)
+def date_functions(spark, d):
+    line = lines(spark, d)
+    m = decode(line, "data", "Line", binaryDescriptorSet=SET, fields=["l_orderkey", "l_linenumber", "l_shipdate"], name="m")
+    t = m.select("m.l_orderkey", "m.l_linenumber", F.timestamp_seconds("m.l_shipdate.seconds").alias("t"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+    return t.join(o, "l_orderkey").select(
+        "l_orderkey",
+        "l_linenumber",
+        F.year("t").alias("y"),
+        F.month("t").alias("m"),
+        F.dayofyear("t").alias("doy"),
+        F.date_format("t", "yyyy-MM-dd").alias("day"),
+        F.date_diff(F.to_date("t"), F.to_date("o_orderdate")).alias("days"),
+        F.date_format(F.add_months(F.trunc("t", "month"), 1), "yyyy-MM-dd").alias("next_month"),
+    )
+
+
+@query("SELECT l_orderkey AS o_orderkey, count(*) AS n, sum(l_linenumber)::BIGINT AS numbers, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY 1")
+def merge_messages(spark, d):
+    """An aggregate over messages: joined bytes are merged messages, so the lines of an order come together without a decode."""
+    line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    one = F.struct(F.col("l_orderkey").alias("o_orderkey"), F.array(F.struct("l_linenumber", "l_quantity")).alias("lines"))
+    rows = line.select("l_orderkey", to_protobuf(one, "Order", binaryDescriptorSet=SET).alias("part"))
+    merged = rows.groupBy("l_orderkey").agg(F.listagg("part").alias("data"))
+    m = decode(merged, "data", "Order", binaryDescriptorSet=SET, fields=["o_orderkey", "lines.l_linenumber", "lines.l_quantity"], name="m")
+    total = lambda f, zero: F.aggregate(F.col("m.lines").getField(f), zero, lambda s, x: s + x)
+    return m.select("m.o_orderkey", F.size("m.lines").cast("long").alias("n"), total("l_linenumber", F.lit(0).cast("long")).alias("numbers"), F.round(total("l_quantity", F.lit(0.0)), 2).alias("qty"))
+
+
+@query("SELECT flag, round(exp(sum(ln(l_extendedprice)) / count(*)), 3) AS mean FROM (SELECT l_returnflag AS flag, l_extendedprice FROM lineitem) GROUP BY flag")
+def udaf_geometric_mean(spark, d):
+    """A user's aggregate in Arrow batches; it runs over parts of each group, whose results a second step joins."""
+
+    def logs(x: pd.Series) -> float:
+        return float(np.log(x).sum())
+
+    def number(x: pd.Series) -> int:
+        return len(x)
+
+    part, count = F.pandas_udf(logs, "double"), F.pandas_udf(number, "long")
+    m = _lines(spark, d, "l_orderkey", "l_returnflag", "l_extendedprice")
+    parts = m.groupBy("l_returnflag", F.pmod(F.xxhash64("l_orderkey"), F.lit(64)).alias("part")).agg(part("l_extendedprice").alias("logs"), count("l_extendedprice").alias("n"))
+    return parts.groupBy(F.col("l_returnflag").alias("flag")).agg(F.round(F.exp(F.sum("logs") / F.sum("n")), 3).alias("mean"))
+
+
+@query("SELECT r_name, count(*) AS n, round(max(c_acctbal), 2) AS most FROM customer JOIN region ON c_acctbal < r_regionkey * 1500 AND c_nationkey <> r_regionkey GROUP BY r_name")
+def join_inequality(spark, d):
+    """No key to join by; the other side is a table of five rows, whatever the scale."""
+    region = F.broadcast(table(spark, d, "region").select("r_name", "r_regionkey"))
+    c = _customers(spark, d, "c_acctbal", "c_nationkey").withColumn("c_nationkey", F.coalesce("c_nationkey", F.lit(0)))
+    m = c.join(region, (F.col("c_acctbal") < F.col("r_regionkey") * 1500) & (F.col("c_nationkey") != F.col("r_regionkey")))
+    return m.groupBy("r_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("c_acctbal"), 2).alias("most"))

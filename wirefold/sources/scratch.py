@@ -11,9 +11,15 @@ from pyspark.sql import SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one of this machine only where that is unset."""
+    """A new folder under spark.checkpoint.dir.
+
+    Where that is unset, a session in one process uses a temporary folder of
+    this machine; a cluster is an error, as its executors share no such folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         local = tempfile.mkdtemp(prefix="wirefold-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         return local
