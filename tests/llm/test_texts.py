@@ -269,16 +269,64 @@ def test_counterfactual_penalty_makes_mentions_neutral():
             words[1] = "muslims"
         texts.append(" ".join(words))
         labels.append(int(toxic))
-    strong = toxicity.SWAP_PENALTY
-    fair = toxicity.fit(texts, labels)
-    toxicity.SWAP_PENALTY = 0.0
-    try:
-        biased = toxicity.fit(texts, labels)
-    finally:
-        toxicity.SWAP_PENALTY = strong
-    gap = lambda m: abs(m.scores(["the muslims came"])[0] - m.scores(["the jews came"])[0])
-    assert gap(fair) < 0.05 < 0.2 < gap(biased)
+    fair, biased = toxicity.fit(texts, labels), toxicity.fit(texts, labels, penalty=0.0)
+    gap = lambda m: abs(m.scores(["the muslims came"])[0] - m.scores(["the came"])[0])
+    assert gap(fair) < 0.03 < 0.1 < gap(biased)
     assert fair.scores(["you idiot w1"])[0] > 0.5 > fair.scores(["the muslims came w1"])[0]
+    clean = [t for t, y in zip(texts, labels) if not y]
+    with_, without = toxicity.neutral_mentions(fair, clean), toxicity.neutral_mentions(biased, clean)
+    assert with_["moved"] < 0.1 * without["moved"] and with_["mentions"] <= without["mentions"]
+
+
+def labelled(sf):
+    from pyarrow import parquet
+
+    texts = dict(zip(*(parquet.read_table(f"/root/testdata/{sf}/documents.parquet").column(c).to_pylist() for c in ("doc_id", "text"))))
+    rows = parquet.read_table(f"/root/testdata/{sf}/labels.parquet").to_pylist()
+    return [(texts[r["doc_id"]], r["toxic"]) for r in rows if r["doc_id"] in texts]
+
+
+def test_penalty_on_the_labelled_table():
+    rows = labelled("sf0.01")
+    texts, labels = [r[0] for r in rows[::2]], [r[1] for r in rows[::2]]
+    clean = [t for t, y in rows[1::2] if not y]
+    moved = [toxicity.neutral_mentions(toxicity.fit(texts, labels, penalty=p), clean)["moved"] for p in (0.0, toxicity.SWAP_PENALTY)]
+    assert moved[1] < 0.1 < 0.5 < moved[0]
+
+
+def test_objective_equals_brute_force(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(toxicity, "MIN_Z", 0.5)
+    monkeypatch.setattr(toxicity, "MIN_TEXTS", 1)
+    rng = random.Random(4)
+    texts = [" ".join(rng.sample(["idiot", "a", "b", "women", "deaf", "c", "d", "Scum!"], rng.randint(0, 5))) for _ in range(40)] + [None, ""]
+    labels = [int("idiot" in (t or "")) for t in texts]
+    parts = [toxicity.parts_of(toxicity.words_of(t)) for t in texts]
+    problem = toxicity.Problem(parts, labels, 0.7)
+    w, b = np.random.RandomState(1).randn(len(problem.buckets)), 0.3
+    by = dict(zip(problem.buckets.tolist(), w))
+    bucket = lambda word: int(toxicity._distinct([word])[0][0])
+    logit = lambda words: b + sum(by.get(x, 0.0) for x in {bucket(v) for v in words})
+    loss, pairs = [], []
+    for t, y, (rest, terms) in zip(texts, labels, parts):
+        words = set(toxicity.words_of(t).split())
+        if terms:
+            three = [words, {toxicity._TWINS.get(v, v) for v in words}, {v for v in words if v not in toxicity._TWINS}]
+        else:
+            put = toxicity._TERMS[__import__("zlib").crc32(rest.tobytes()) % len(toxicity._TERMS)]
+            three = [words, words | {put}, words | {toxicity._TWINS[put]}]
+        z = [logit(x) for x in three]
+        loss += [np.log1p(np.exp(v)) - y * v for v in z]
+        pairs += [(z[0] - z[1]) ** 2, (z[1] - z[2]) ** 2]
+    want = np.mean(loss) + 0.7 * np.mean(pairs) + toxicity.DECAY / 2 * (w @ w)
+    value, slope, by_bias = problem.value_and_slopes(w, b)
+    assert abs(value - want) < 1e-9
+    for k in range(0, len(w), 7):
+        step = np.zeros_like(w)
+        step[k] = 1e-6
+        assert abs((problem.value_and_slopes(w + step, b)[0] - problem.value_and_slopes(w - step, b)[0]) / 2e-6 - slope[k]) < 1e-6
+    assert abs((problem.value_and_slopes(w, b + 1e-6)[0] - problem.value_and_slopes(w, b - 1e-6)[0]) / 2e-6 - by_bias) < 1e-6
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -298,6 +346,20 @@ def test_toxicity_without_labels(spark):
     assert toxicity.op8(docs.limit(0), one).count() == 0
 
 
+def test_toxicity_of_repeated_ids_and_clashing_names(spark, monkeypatch):
+    ids = [i for i in range(400) if __import__("zlib").crc32(str(i).encode()) % 5]
+    rows = [(i, f"you idiot {i}" if i % 3 == 0 else f"good day {i}", "x", None, 7) for i in ids for _ in range(1 + i % 3)]
+    docs = spark.createDataFrame([*rows, (None, None, None, None, None), (5000, "idiot " * 100_000, "x", None, 7)], "doc_id long, text string, score string, _t int, toxic int")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), "z") for i in ids] * 2, "doc_id long, toxic int, _y string")
+    taken = []
+    fit = toxicity.fit_parts
+    monkeypatch.setattr(toxicity, "fit_parts", lambda parts, labels: taken.append(len(labels)) or fit(parts, labels))
+    out = toxicity.op8(docs, labels).collect()
+    assert taken == [len(ids)] and len(out) == len(rows) + 2
+    assert all(r.predicted == int(r.doc_id % 3 == 0) for r in out if r.doc_id is not None and r.doc_id < 400)
+    assert next(r for r in out if r.doc_id == 5000).predicted == 1
+
+
 # --- decontamination
 
 
