@@ -83,8 +83,16 @@ def test_urls(spark):
     assert u.op9(df.limit(0)).count() == 0
 
 
+def test_labelled_urls_are_not_pages():
+    from pyarrow import parquet
+
+    urls = [x for sf in ("sf0.01", "sf0.1") for x in parquet.read_table(f"/root/testdata/{sf}/pages.parquet").column("url").to_pylist()]
+    hosts = {split(x)[0] for x in urls}
+    assert not hosts & {split(x)[0] for x, _ in u.LABELLED}
+
+
 def test_model_separates_new_urls(spark):
-    good = ["http://www.theatre.example.com/fr/12", "https://m.tionth.example.org/en/4", "https://blog.history.example.net/en/99"]
+    good = ["http://www.theatre.example.com/fr/12", "https://m.river-boats.example.org/en/4", "https://blog.local-history.example.net/en/99", "https://www.opera-house.example/spielplan"]
     bad = ["http://m.cheap-pills.example.com/fr/12", "https://www.casino-win.example.org/en/4", "http://blog.spam-farm.example.net/fr/1", "https://adult-x.example.net/en/77", "https://free-bets.example.com/fr/3"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(good + bad)], "page_id long, url string")
     got = {r.page_id: r.score >= 0.5 for r in u.judge(df).collect()}
@@ -93,6 +101,48 @@ def test_model_separates_new_urls(spark):
         u.train(spark, [("http://x/", 1)] * (u.MAX_LABELLED + 1))
 
 
+def test_regression_equals_plain_gradient_descent(spark):
+    """The dual form against descent on the weights themselves, with the n-grams hashed by Spark one by one."""
+    import numpy as np
+
+    labelled = [*u.LABELLED[:6], *u.LABELLED[20:26], ("", 0), ("x://", 1)]
+    pieces = []
+    for url, _ in labelled:
+        host, path = split(url)
+        own = []
+        for mark, text in (("^", f"^{host}$"), ("/", f"/{path}$")):
+            own += [(mark, text[i : i + n]) for n in u.GRAMS for i in range(len(text) - n + 1)]
+        pieces.append(own)
+    names = sorted({p for own in pieces for p in own})
+    rows = spark.createDataFrame(names, "mark string, gram string").selectExpr("mark", "gram", f"cast(pmod(xxhash64(mark, gram), {u.BUCKETS}) as int) as b").collect()
+    bucket = {(r.mark, r.gram): r.b for r in rows}
+    x = np.zeros((len(labelled), u.BUCKETS))
+    for i, own in enumerate(pieces):
+        held = sorted({bucket[p] for p in own})
+        x[i, held] = 1 / np.sqrt(len(held)) if held else 0
+    y = np.array([float(v) for _, v in labelled])
+    w, b = np.zeros(u.BUCKETS), 0.0
+    for _ in range(u.STEPS):
+        err = y - 1 / (1 + np.exp(-(x @ w + b)))
+        w, b = w * (1 - u.RATE * u.DECAY) + u.RATE * (x.T @ err), b * (1 - u.RATE * u.DECAY) + u.RATE * err.sum()
+    model = u.train(spark, labelled)
+    assert np.allclose(model, [b, *w], atol=1e-9)
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(labelled)], "page_id long, url string")
+    scores = {r.page_id: r.score for r in u.judge(df, model).collect()}
+    assert np.allclose([scores[i] for i in range(len(labelled))], 1 / (1 + np.exp(-(x @ w + b))), atol=1e-9)
+
+
+def test_rules_of_equal_length_and_long_urls(spark):
+    from pyspark.sql import functions as F
+
+    host, path = F.lit("a.b.com"), F.lit("/xy")
+    text, says = u.rule_of(host, path, [("com/x", "block"), ("com/y", "allow"), ("b.com/", "allow")])
+    assert tuple(spark.range(1).select(text, says).first()) == ("b.com/", "allow")
+    df = spark.createDataFrame([(1, "http://h.example/" + "a" * 300_000, "x"), (1, "http://h.example/" + "a" * 300_000, "x"), (None, None, "y")], "page_id long, url string, verdict string")
+    out = u.op9(df).collect()
+    assert len(out) == 3 and sorted(len(r.path) for r in out) == [0, 300_001, 300_001]
+
+
 def test_plans_have_no_python(spark):
     plan = q.op10(spark.range(3).selectExpr("id as doc_id", "'a b' as text"))._jdf.queryExecution().executedPlan().toString()
     plan += u.op9(spark.range(3).selectExpr("id as page_id", "'http://a/b' as url"))._jdf.queryExecution().executedPlan().toString()
