@@ -117,6 +117,73 @@ def test_shards(spark):
         store.commit(base, final)
 
 
+def test_vacuum_spares_writers_in_flight(spark):
+    docs = read_table(spark, "/root/testdata/sf0.001", "documents")
+    root = Scratch(spark, "test").path("store")
+    one, two = (sharding.Store(spark, root, docs.schema) for _ in range(2))
+    one.append(docs.where("doc_id % 2 = 0"))
+    name, new = one._write(docs.where("doc_id % 2 = 1"))
+    gone = one._write(docs.limit(1))[1]
+    two.vacuum()
+    one._change(lambda shards: [*shards, *new])
+    one._settled(name)
+    two.vacuum()
+    assert one.read().count() == docs.count()
+    # a writer that died long ago
+    two.vacuum(grace=-60)
+    assert not one._fs.exists(one._path(gone[0].path)) and one.read().count() == docs.count() and not list(one._fs.listStatus(one._path(f"{root}/intents")))
+
+
+def test_two_writers_lose_nothing(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    docs = read_table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "lang").withColumn("_metadata", docs_marker())
+    root = Scratch(spark, "test").path("store")
+    parts = 12
+
+    def work(k):
+        store = sharding.Store(spark, root, docs.schema, smallest=1)
+        for i in range(k, parts, 4):
+            store.append(docs.where(f"doc_id % {parts} = {i}").coalesce(1))
+            store.compact(vacuum=False)
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(work, range(4)))
+    store = sharding.Store(spark, root, docs.schema)
+    assert sorted(map(tuple, store.read().collect())) == sorted(map(tuple, docs.collect()))
+    versions = store.versions()
+    assert versions == list(range(1, len(versions) + 1)) and len(versions) >= parts
+    assert sum(s.rows for s in store.shards()) == docs.count()
+    # all full lists and all changes tell the same
+    for v in versions:
+        assert "all" in store._manifest(v) or v % sharding.FULL != 1
+
+
+def docs_marker():
+    from pyspark.sql import functions as F
+
+    return F.lit("m")
+
+
+def test_exclusive_commit(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    docs = read_table(spark, "/root/testdata/sf0.001", "documents")
+    root = Scratch(spark, "test").path("store")
+
+    def commit(k):
+        store = sharding.Store(spark, root, docs.schema)
+        try:
+            return store.commit(0, [sharding.Shard(f"{root}/data/{k}/x", k, k)])
+        except sharding.Conflict:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        done = list(pool.map(commit, range(40)))
+    assert sum(v is not None for v in done) == 1
+    assert sharding.Store(spark, root, docs.schema).shards()[0].size == done.index(1)
+
+
 def brute_groups(rows):
     sets = {}
     for i, t in rows:
