@@ -226,16 +226,50 @@ def test_digests_and_ids(spark):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.one_of(ODD, st.text(max_size=12), st.lists(st.sampled_from(["<|endoftext|>", " a", "b's", "  ", "\n x", "12 ", "?!"]), max_size=8).map("".join)), max_size=5))
 def test_counts_equal_the_library(texts):
-    c = token_counts.counts(public_tokenizers.path("byte_bpe_50k.json"))
-    assert c.batch(texts) == [len(e.ids) for e in c.library.encode_batch(texts, add_special_tokens=False)]
+    c = token_counts.splitter(public_tokenizers.path("byte_bpe_50k.json"))
+    got = []
+    for t in texts:
+        freq, total = c.frequencies(t)
+        tokens = list(freq)
+        got.append(total + sum(n * freq[p] for p, n in zip(tokens, c.pieces(tokens))))
+    assert got == [len(e.ids) for e in c.library.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_count_columns(spark):
-    df = spark.createDataFrame([(1, None), (2, "é b"), (3, " a" * 1025)], "doc_id long, text string")
-    assert sorted(map(tuple, token_counts.op7(df).collect())) == [(1, 0, 0, False), (2, 4, 2, False), (3, 2050, 1025, True)]
+SCRIPTS = ["日本語のテキスト、漢字かな交じり。", "😀👩‍👩‍👧 emoji 🇩🇪", "e\u0301 combining a\u0300 \u0323", "no\u00a0break\u2003space\u3000wide", "العربية ١٢٣ हिन्दी १२", "한국어 文 ９ Ⅷ ½", "Ωμέγα ϶ Жук", "a<|endoftext|>日本<|endoftext|>"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([*SCRIPTS, " ", "  ", "\n", "it's ", "12"]), max_size=8).map("".join))
+def test_counts_of_all_scripts(text):
+    test_counts_equal_the_library.hypothesis.inner_test([text])
+
+
+@pytest.mark.parametrize("common", [0, 40, 400_000])
+def test_count_columns(spark, monkeypatch, common):
+    monkeypatch.setattr(token_counts, "COMMON", common)
+    monkeypatch.setattr(token_counts, "HELD", 20)
+    texts = [None, "", "é b", " a" * 1025, *SCRIPTS, *SCRIPTS, "x" * 200_000, " ".join(f"w{i}" for i in range(3000)), "same rows", "same rows", " ".join(SCRIPTS) * 50]
+    rows = [(None if i % 7 == 6 else i // 2, t, "k", 1) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string, row int").repartition(3)
+    library = token_counts.splitter(public_tokenizers.path("byte_bpe_50k.json")).library
+    want = []
+    for i, t, _, _ in rows:
+        n = len(library.encode(t or "", add_special_tokens=False).ids)
+        want.append((i, len((t or "").encode()), n, n > 1024))
+    assert sorted(map(tuple, token_counts.op7(df).collect()), key=str) == sorted(want, key=str)
     assert token_counts.op7(df.limit(0)).count() == 0
 
 
+def test_pieces_are_counted_once_for_each_pre_token(spark):
+    from wirefold.llm.common import bounded
+
+    df = bounded(spark.createDataFrame([(i, f"the cat {i % 3} the") for i in range(40)], "doc_id long, text string").repartition(4))
+    table = token_counts.vocabulary(df, public_tokenizers.path("byte_bpe_50k.json"))
+    got = {r.p: (r.n, r.pieces) for r in table.collect()}
+    assert table.count() == len(got) and got["the"][0] == 40 == got[" the"][0] and got[" 0"][0] == 14
+    assert token_counts.common_of(table, 2).count() == 0 and {r.p for r in token_counts.common_of(table, 3).collect()} == {"the", " the", " cat"}
+
+
 # --- hashes
 
 
