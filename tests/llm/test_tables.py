@@ -185,14 +185,15 @@ def test_exclusive_commit(spark):
 
 
 def brute_groups(rows):
-    sets = {}
+    """Rows of one id are versions of it: two ids link if a version of one links with a version of the other."""
+    sets, out = [], []
     for i, t in rows:
         w = (t or "").encode().lower().split()
-        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
-    inverse, both, up = collections.defaultdict(list), collections.Counter(), {i: i for i in sets}
-    for i, s in sets.items():
+        sets.append((i, {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())))
+    inverse, both, up = collections.defaultdict(list), collections.Counter(), {i: i for i, _ in sets}
+    for k, (_, s) in enumerate(sets):
         for x in s:
-            inverse[x].append(i)
+            inverse[x].append(k)
     for held in inverse.values():
         for a in range(len(held)):
             for b in range(a):
@@ -204,10 +205,10 @@ def brute_groups(rows):
         return x
 
     for (a, b), n in both.items():
-        if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
-            x, y = root(a), root(b)
+        if 100 * n >= 80 * (len(sets[a][1]) + len(sets[b][1]) - n):
+            x, y = root(sets[a][0]), root(sets[b][0])
             up[max(x, y)] = min(x, y)
-    return {(i, len(sets[i]), root(i)) for i in sets}
+    return {(i, len(s), root(i)) for i, s in sets}
 
 
 def family(seed, n=400):
@@ -227,7 +228,7 @@ def family(seed, n=400):
     return [*rows, (1000, None), (1001, ""), (1002, " \n"), (1003, "a b"), (1004, "A\tB")]
 
 
-@pytest.mark.parametrize("settings", [{}, {"COMMON": 5, "MANY": 0.01, "FRUITFUL": 0, "FEW_LINKS": 0, "HELD_KEYS": 500}])
+@pytest.mark.parametrize("settings", [{}, {"COMMON": 5, "MANY": 0.01, "FRUITFUL": 0, "FEW_LINKS": 0, "HELD_KEYS": 500, "HOT": 7}])
 def test_groups_equal_brute_force(spark, monkeypatch, settings):
     for k, v in settings.items():
         monkeypatch.setattr(jaccard_join, k, v)
@@ -236,6 +237,25 @@ def test_groups_equal_brute_force(spark, monkeypatch, settings):
     assert {tuple(r) for r in jaccard_join.op4(df).collect()} == brute_groups(rows)
 
 
+@pytest.mark.parametrize("hot", [10, 2048])
+def test_documents_that_share_a_template_and_versions(spark, monkeypatch, hot):
+    """Keys with many documents that stay apart, some that link, and ids with several texts."""
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
+    rng = random.Random(9)
+    template = [f"t{i}" for i in range(80)]
+    own = lambda n: [f"o{rng.randint(0, 10**9)}" for _ in range(n)]
+    rows = [(i, " ".join([*template, *own(rng.choice([12, 16, 20, 24]))])) for i in range(120)]
+    for i in range(120, 150):  # links across: another's text with one word changed
+        words = rng.choice(rows[:120])[1].split()
+        words[rng.randrange(80, len(words))] = "changed"
+        rows.append((i, " ".join(words)))
+    for i in range(150, 170):  # two versions: one of an earlier document, one of its own or like another's
+        a, b = rng.choice(rows[:120])[1], rng.choice(rows[:120])[1].split()
+        rows += [(i, a), (i, " ".join([*b[:-1], "last"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {tuple(r) for r in jaccard_join.op4(df).collect()} == brute_groups(rows)
+
+
 def test_groups_of_odd_tables(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (2, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (5, "q r s t u v"), (5, "a b c d e f")], "doc_id long, text string")
     got = sorted((tuple(r) for r in jaccard_join.op4(df).collect()), key=str)

@@ -29,7 +29,9 @@ task.  These star pairs are checked (sketch, then texts) and linked documents
 form components.  Where a key's documents lie in several components after that,
 the remaining pairs across components are checked too: all pairs of a document
 outside the key's largest component with the key's documents in others (after
-rounds with a few of them, if the pairs are many).  Pairs
+rounds with a few of them, if the pairs are many).  They are compared by
+size class, and a key of many documents is dealt out over as many tasks as it
+has times ``HOT`` documents, so no task holds all pairs of a key.  Pairs
 within a component need no check, so no link between different components is
 lost and the components are exact.
 
@@ -40,7 +42,8 @@ Edge cases: null, empty or blank texts have the empty set and link with
 nothing; fewer than ``WIDTH`` words make one shingle; rows with the same doc_id
 are versions of one document and share its component; a null doc_id has a null
 component; repeated rows are each returned; an empty table gives an empty
-result; further columns are ignored; texts of any length are used whole.
+result; further columns are ignored, whatever their names; texts of any length
+are used whole; pairs at exactly SIMILAR link.
 """
 
 from __future__ import annotations
@@ -73,6 +76,10 @@ FILTER_BITS = 1 << 23
 #: if a round with a few of them has linked less than this share of the documents outside the largest components.
 MANY = 4
 FRUITFUL = 0.05
+#: Documents of a key that one task compares with the key's others.
+HOT = 2048
+#: Ratio of two size classes; a little over 100 / SIMILAR, so that partners lie in the same or in neighbouring classes.
+CLASS = 1.26
 #: Links up to this number (four megabytes) are joined to components in one task, more by rounds of joins.
 FEW_LINKS = 1 << 18
 
@@ -445,8 +452,10 @@ class Join:
         apart = keep(apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "apart")
         keys = keep(stars.join(apart, ["a", "b"], "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n")).select("key"), "mixed")
         members = stars.join(keys, "key", "left_semi").select("key", F.explode(F.array("a", "b")).alias("id"))
-        # of equal sets one member stands for all: they have the same keys
-        members = members.join(self.copies.groupBy("id").agg(F.min("rep").alias("rep")), "id", "left").select("key", F.coalesce("rep", "id").alias("id"))
+        # of equal sets one member stands for all: they have the same keys (an id with several sets has keys of its own)
+        several = self.sets.groupBy("id").agg(F.min(F.xxhash64("same")).alias("least"), F.max(F.xxhash64("same")).alias("most")).where("least <> most").select("id")
+        copies = self.copies.join(several, "id", "left_anti").groupBy("id").agg(F.min("rep").alias("rep"))
+        members = members.join(copies, "id", "left").select("key", F.coalesce("rep", "id").alias("id"))
         members = keep(members.groupBy("key", "id").agg(F.count(F.lit(1)).alias("n")).select("key", "id"), "members0")
         while True:
             step += 1
@@ -458,7 +467,7 @@ class Join:
             if not rows:
                 return comps
             # the next round needs only the keys that are still mixed
-            held = keep(held.join(largest.select("key", "top"), "key"), f"mixed{step}")
+            held = keep(held.join(largest.select("key", "top", "all"), "key"), f"mixed{step}")
             last = not fruitful or pairs <= MANY * rows
             folds = self.sets.select("id", F.col("n_shingles").alias("n"), *FOLDS)
             seen = keep(held.join(folds, "id"), f"seen{step}")
@@ -468,8 +477,13 @@ class Join:
                 spot = F.pmod("key", F.lit(4))
                 chosen = seen.where("comp = top").groupBy("key", "comp").agg(F.min_by(F.struct("id", "n", *FOLDS), F.xxhash64("id", spot, F.lit(step))).alias("s"))
                 others = keep(chosen.select("key", "comp", "s.*"), f"chosen{step}")
-            outside = seen.where("comp <> top").alias("x")
-            met = outside.join(others.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & near("x", "y"))
+            size = F.floor(F.log("n") / F.log(F.lit(CLASS))).cast("int")
+            shares = F.ceil(F.col("all") / HOT) if last else F.lit(1)
+            outside = seen.where("comp <> top").withColumn("share", F.pmod(F.xxhash64("id"), shares))
+            outside = outside.withColumn("size", F.explode(F.array(size - 1, size, size + 1))).alias("x")
+            others = others.withColumn("size", size).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), shares.cast("long") - 1))).alias("y")
+            same = (F.col("x.key") == F.col("y.key")) & (F.col("x.size") == F.col("y.size")) & (F.col("x.share") == F.col("y.share"))
+            met = outside.join(others, same & (F.col("x.comp") != F.col("y.comp")) & near("x", "y"))
             met = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
             met = keep(met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).select("a", "b"), f"met{step}")
             rest = keep(met.join(done, ["a", "b"], "left_anti"), f"rest{step}")
