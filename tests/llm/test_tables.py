@@ -4,7 +4,9 @@ import base64
 import collections
 import hashlib
 import random
+import re
 
+import duckdb
 import pytest
 
 import corpus_pipeline
@@ -286,6 +288,32 @@ def test_pipeline(spark):
     # one of each group of near copies stays
     texts = [(r.doc_id, r.text) for r in frames[1].collect()]
     assert ids[2] == {c for _, _, c in brute_groups(texts)}
+    # each other stage against plain Python on what the one before kept
+    from test_native import brute
+    from test_texts import brute_pairs
+
+    from wirefold.llm import pieces, pii, quality_rules
+
+    assert {r.doc_id for r in docs.select("doc_id", "text").collect() if brute(r.text)[-1]}.isdisjoint(ids[1])
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    assert ids[1] == {r[0] for r in con.execute(f"SELECT doc_id FROM ({quality_rules.OP10_SQL}) WHERE kept").fetchall()}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    leaks = {d for d, _ in brute_pairs([(r.doc_id, r.text) for r in frames[2].collect()], items)}
+    assert leaks and ids[3] == ids[2] - leaks
+    before = {r.doc_id: r.text for r in frames[3].collect()}
+    after = {r.doc_id: (r.text, r.n_chars) for r in frames[4].collect()}
+    for i, t in before.items():
+        hidden = [False] * len(t)
+        spans = pii.find(t, pii.trained())[1]
+        for a, b, _ in spans:
+            hidden[a:b] = [True] * (b - a)
+        kept = "".join(c for c, h in zip(t, hidden) if not h)
+        text, n = after[i]
+        assert n == len(text) and (text == t) == (not spans)
+        assert "".join(x for x in re.split("<(?:EMAIL|IP|CARD|PHONE|SECRET)>", text)) == kept
+    library = pieces.vocabulary(pieces.default_path()).library
+    assert all(r.ids == library.encode(after[r.doc_id][0]) and r.n_tokens == len(r.ids) for r in frames[-1].collect())
     assert frames[-1].where("not decodes").count() == 0
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == ids[-1]
 

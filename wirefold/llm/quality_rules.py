@@ -7,17 +7,21 @@ that ledger, so a new policy or an ablation never reads a text again:
 most 2^rules distinct masks.
 
 Edge cases: a null text counts as an empty one; an empty text has zero words
-and fails ``few_words``; repeated rows are each judged; an empty table gives an
-empty ledger; further columns of the input are ignored.  Every step is a
+and fails ``few_words``; repeated rows are each judged; measurements at a
+rule's bound pass it (the rules' comparisons are strict, but for ``n_dup_lines
+>= 5``); an empty table gives an empty ledger; further columns of the input are
+ignored, whatever their names.  Every step is a
 projection: nothing is shuffled, and a text of any length stays in its row.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirefold.llm.common import bounded
+from wirefold.llm.common import Scratch, bounded
 
 #: The characters between words.
 SPACES = " \t\n\x0b\f\r"
@@ -169,7 +173,14 @@ def op10(docs: DataFrame) -> DataFrame:
     )
 
 
-OP10_SQL = r"""
+def ablation(docs: DataFrame) -> DataFrame:
+    """``ablate`` of every policy's version over the documents' ledger."""
+    book = Scratch(bounded(docs).sparkSession, "ledger").keep(ledger(docs).select("fail_bits"), "bits")
+    tables = [ablate(book, v).select(F.lit(v).alias("version"), "rule", "failed", "regained") for v in POLICIES]
+    return reduce(DataFrame.unionByName, tables)
+
+
+_BITS_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
              list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
@@ -185,6 +196,20 @@ f AS (SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
         + CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END + CASE WHEN 10 * n_bangs > 3 * n_words THEN 8 ELSE 0 END
         + CASE WHEN n_dup_lines >= 5 AND 2 * n_dup_lines > n_lines THEN 16 ELSE 0 END + CASE WHEN word_chars > 25 * n_words THEN 32 ELSE 0 END
         + CASE WHEN word_chars < 2 * n_words THEN 64 ELSE 0 END)::BIGINT AS fail_bits FROM m)
+"""
+
+OP10_SQL = (
+    _BITS_SQL
+    + """
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 127) = 0 AS kept, fail_bits FROM f
 """
+)
+
+ABLATION_SQL = (
+    _BITS_SQL
+    + f""", o AS (SELECT * FROM (VALUES {", ".join(f"({v}, '{r}', {mask}, {1 << i})" for v, mask in POLICIES.items() for i, r in enumerate(RULES) if mask >> i & 1)}) AS t(version, rule, mask, bit))
+SELECT version, rule, count(*) FILTER (WHERE fail_bits & bit <> 0) AS failed, count(*) FILTER (WHERE fail_bits & mask = bit) AS regained
+FROM o LEFT JOIN f ON true GROUP BY version, rule
+"""
+)

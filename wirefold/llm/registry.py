@@ -21,8 +21,9 @@ def queries() -> dict:
         "op8_toxicity": lambda spark, d: toxicity.op8(read_table(spark, d, "documents"), read_table(spark, d, "labels")),
         "op9_url_filter": lambda spark, d: url_filter.op9(read_table(spark, d, "pages")),
         "op10_quality_rules": docs(quality_rules.op10),
+        "quality_ablation": docs(quality_rules.ablation),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.OP2_SQL, "op6_size_tiered_shards": sharding.OP6_SQL, "op10_quality_rules": quality_rules.OP10_SQL}
+    return {"op2_warc": warc.OP2_SQL, "op6_size_tiered_shards": sharding.OP6_SQL, "op10_quality_rules": quality_rules.OP10_SQL, "quality_ablation": quality_rules.ABLATION_SQL}
