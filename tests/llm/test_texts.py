@@ -458,6 +458,23 @@ def test_decontamination_equals_brute_force(spark):
     assert decontam.op3(df.limit(0), bench).count() == 0 and decontam.op3(df, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [2, 64])
+def test_common_windows_change_nothing_but_runs(spark, monkeypatch, hot):
+    """Items that share an instruction line, some short enough that it is most of them."""
+    monkeypatch.setattr(decontam, "HOT", hot)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    line = "answer the question below with one of the words that follow it in the list"
+    items = [(i, f"{line} " + " ".join(word() for _ in range(rng.choice([3, 8, 40])))) for i in range(20)]
+    docs = [(i, " ".join([word(), line, word(), *(own.split()[-rng.choice([3, 8, 30]) :] if i % 2 else own.split()), word()])) for i in range(60) for _, own in [rng.choice(items)]]
+    docs += [(100, line), (101, items[3][1]), (None, items[4][1])]
+    got = {(r.doc_id, r.item_id) for r in decontam.op3(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute_pairs(docs, items)
+    assert {(101, 3), (None, 4)} <= got and want <= got
+    # the line has 15 words: only where it is not common it is a run that counts
+    assert (got == want) if hot == 2 else (100, 0) in got
+
+
 def test_reparameterised_question_is_found_and_inconsistent_one_is_not(spark):
     bench = spark.createDataFrame([(1, "Then Alice bought 12 red apples for 3 dollars and sold 12 of them near the old market, so 12 apples less 12 are left here.")], "item_id long, text string")
     same = "Then Carol bought 15 red apples for 4 dollars and sold 15 of them near the old market, so 15 apples less 15 are left here."

@@ -17,9 +17,15 @@ share of the item, ``MIN_RUN`` consecutive words that pass the check do too.
 The benchmark may be of any size: documents' windows are first sieved through a
 Bloom filter of the item windows, a bitmap of fixed size; what passes goes
 through an ordinary equi-join on the hash.  Only a fixed bitmap is broadcast.
-A window that many documents share is joined with the few items that hold it.
 The matches of a document and an item are judged together in one worker.
 
+Windows that more than ``HOT`` items hold (a common instruction line) count
+towards ``MIN_COVER`` like any other, but not towards a run, as they are no one
+item's words.  They do not bring documents and items together: of each item the
+commonest such windows are set aside, fewer than ``MIN_COVER`` of its windows,
+so a match that passes has one of the others; pairs that these others have
+brought together then get the windows set aside by a second equi-join.
+
 Items without a usable window (short or dense with numbers) are searched as a
 whole by ``whole_matches``: their literal words, at any length, and from ``WIDTH``
 words with ``MIN_PLAIN`` plain ones on also their template with the slot check.
@@ -30,7 +36,9 @@ Edge cases: a null or empty text has no windows and no words; an item of one
 word matches every document with that word; a window with fewer than
 ``MIN_PLAIN`` plain words is not used; repeated items each give their own
 rows; rows with the same doc_id are one document; a null doc_id is one document
-id of its own; empty tables give an empty result; further columns are ignored.
+id of its own, so is a null item_id; of readings that pass the first is
+reported; texts of any length are searched whole; empty tables give an empty
+result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,13 +52,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirefold.llm.common import arrow_map, blocks, mix, window_hashes, word_hashes
+from wirefold.llm.common import Scratch, arrow_map, blocks, bounded, mix, window_hashes, word_hashes
 
 WIDTH = 6
 MIN_PLAIN = 4
 MIN_COVER = 0.4
 MIN_RUN = 13
 MIN_AGREE = 0.8
+#: A window of more items than this is common.
+HOT = 64
 #: Size of the sieve in bits; documents' windows pass by chance with the share of set bits.
 SIEVE_BITS = 1 << 22
 
@@ -162,6 +172,20 @@ def item_windows(benchmark: DataFrame, key: str = "item_id", text: str = "text")
     return arrow_map(benchmark.select(F.col(key).alias("_item"), F.col(text).cast("string")), run, f"_item {kind}, h long, pos int, slots array<string>")
 
 
+def _with_common(items: DataFrame, kind: str) -> DataFrame:
+    """Items' windows, with ``common`` (more than HOT items hold it) and ``aside`` (it does not bring documents and items together)."""
+    held = items.select("h", "_item").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("holders")).where(F.col("holders") > HOT)
+    rows = items.join(held, "h", "left").withColumn("common", F.col("holders").isNotNull())
+    # of an item's common windows the commonest, so many that they alone are under MIN_COVER of the item's windows
+    own = rows.groupBy(F.col("_item").alias("_i")).agg(
+        F.countDistinct("pos").alias("_all"), F.sort_array(F.collect_set(F.when(F.col("common"), F.struct(-F.col("holders"), "pos"))), asc=True).alias("_common")
+    )
+    least = F.greatest(F.ceil(F.col("_all") * MIN_COVER) - 1, F.lit(0)).cast("int")
+    own = own.where(F.size("_common") > 0).select("_i", F.transform(F.slice("_common", F.lit(1), least), lambda s: s["pos"]).alias("_aside"))
+    rows = rows.join(own, F.col("_item").eqNullSafe(F.col("_i")), "left")
+    return rows.select("_item", "h", "pos", "slots", "common", F.coalesce(F.array_contains("_aside", F.col("pos")), F.lit(False)).alias("aside"))
+
+
 def sieve_of(items: DataFrame) -> np.ndarray:
     """Bitmap of all window hashes; each task sends one bitmap."""
 
@@ -204,7 +228,7 @@ class _Tally:
 
 
 def _readings(met: list[tuple]) -> Iterator[_Tally]:
-    """Readings of the (row, pos, at, slots, theirs) that a document and an item share."""
+    """Readings of the (row, pos, at, slots, theirs, common) that a document and an item share."""
     whole, own = _Tally(), _Tally()
     for pos, slots, theirs in sorted({(m[1], m[3], m[4]) for m in met}):
         whole.add(pos, slots, theirs)
@@ -213,7 +237,7 @@ def _readings(met: list[tuple]) -> Iterator[_Tally]:
     yield whole
     yield own
     rows: dict[int, dict[int, list[tuple]]] = {}
-    for row, pos, at, slots, theirs in met:
+    for row, pos, at, slots, theirs, _ in met:
         rows.setdefault(row, {}).setdefault(at - pos, []).append((pos, slots, theirs))
     for lines in rows.values():
         shifts = sorted(lines)
@@ -238,8 +262,8 @@ def _long_runs(met: list[tuple]) -> Iterator[_Tally]:
     """Runs of at least ``MIN_RUN`` words that matched windows cover without a gap, of all windows and of those with the item's own values."""
     for own in (False, True):
         lines: dict[tuple[int, int], list[tuple]] = {}
-        for row, pos, at, slots, theirs in met:
-            if not own or slots == theirs:
+        for row, pos, at, slots, theirs, common in met:
+            if not common and (not own or slots == theirs):
                 lines.setdefault((row, at - pos), []).append((pos, slots, theirs))
         for line in lines.values():
             line.sort()
@@ -263,7 +287,8 @@ def _judge(met: list[tuple], total: int) -> tuple[int, int, int] | None:
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
     """Contaminated documents: ``key``, ``item``, matched windows, the item's windows, slots, agreeing slots."""
     kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
-    items = item_windows(benchmark, item, text)
+    scratch = Scratch(bounded(docs).sparkSession, "templates")
+    items = scratch.keep(_with_common(item_windows(benchmark, item, text), item_kind), "items")
     sieve = sieve_of(items)
 
     def run(batches):
@@ -277,16 +302,25 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: st
                 at += part.num_rows
 
     found = arrow_map(docs.select(F.col(key).alias("_doc"), F.col(text).cast("string")), run, f"_doc {kind}, h long, pos int, slots array<string>, row long")
-    met = found.select("_doc", "h", "row", F.col("pos").alias("at"), F.col("slots").alias("theirs")).join(items, "h").where(F.size("theirs") == F.size("slots"))
+    found = scratch.keep(found.select("_doc", "h", "row", F.col("pos").alias("at"), F.col("slots").alias("theirs")), "found")
+    columns = ["_doc", "_item", "row", "pos", "at", "slots", "theirs", "common"]
+    fits = F.size("theirs") == F.size("slots")
+    met = found.join(items.where("not aside").drop("aside"), "h").where(fits).select(columns)
+    aside = items.where("aside").drop("aside")
+    if not aside.isEmpty():
+        met = scratch.keep(met, "met")
+        pairs = met.groupBy("_doc", "_item").agg(F.count(F.lit(1)).alias("n")).select(F.col("_doc").alias("_d"), F.col("_item").alias("_i"))
+        more = pairs.join(aside, F.col("_i").eqNullSafe(F.col("_item"))).join(found.withColumnRenamed("h", "_h"), F.col("_d").eqNullSafe(F.col("_doc")) & (F.col("h") == F.col("_h")))
+        met = met.unionByName(more.where(fits).select(columns))
     total = items.groupBy("_item").agg(F.countDistinct("pos").alias("item_windows"))
-    met = met.groupBy("_doc", "_item").agg(F.collect_list(F.struct("row", "pos", "at", "slots", "theirs")).alias("met"))
+    met = met.groupBy("_doc", "_item").agg(F.collect_list(F.struct("row", "pos", "at", "slots", "theirs", "common")).alias("met"))
     met = met.join(total.withColumnRenamed("_item", "_t"), F.col("_item").eqNullSafe(F.col("_t"))).select("_doc", "_item", "item_windows", "met")
 
     def judge(batches):
         for b in batches:
             keep, out = [], []
             for i, total in enumerate(b.column(2).to_pylist()):
-                found = _judge([(m["row"], m["pos"], m["at"], tuple(m["slots"]), tuple(m["theirs"])) for m in b.column(3)[i].as_py()], total)
+                found = _judge([(m["row"], m["pos"], m["at"], tuple(m["slots"]), tuple(m["theirs"]), m["common"]) for m in b.column(3)[i].as_py()], total)
                 if found:
                     keep.append(i)
                     out.append(found)
