@@ -118,6 +118,26 @@ def test_filters_on_ordinary_columns_reach_the_scan(spark, customers):
     assert ways[0].count() == ways[1].count() == want.count() and ways[2].count() == ways[4].count() == want.where("c_acctbal > 0").count()
 
 
+def test_the_optimizer_finds_the_fields(spark, customers):
+    frame = ProtoFrame(spark.read.parquet(customers), "data", "Customer", binaryDescriptorSet=SET)
+    nation, seen = table(spark, SF, "nation"), []
+
+    def watched(program):
+        def run(df):
+            seen.append(sorted(df.schema["proto"].dataType.names))
+            return program(df)
+
+        return frame.filter("c_custkey > 3").query(run)
+
+    joined = watched(lambda df: df.join(nation, F.col("proto.c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.max("proto.c_acctbal").alias("most")))
+    assert seen.pop() == ["c_acctbal", "c_nationkey"] and joined.count() > 0 and plan_of(joined).count("ArrowEvalPython") == 1
+    twice = watched(lambda df: df.select("proto.c_name").union(df.select("proto.c_mktsegment")))
+    assert seen.pop() == ["c_mktsegment", "c_name"] and twice.count() == 2 * spark.read.parquet(customers).where("c_custkey > 3").count()
+    assert watched(lambda df: df.select("c_custkey")).count() > 0 and len(seen.pop()) == 1
+    whole = watched(lambda df: df.select("proto"))
+    assert len(seen.pop()) == 5 and whole.schema["proto"].dataType.names == frame.full_schema.names
+
+
 def test_decode_replaces_a_column_of_its_name(spark):
     df = encoded(table(spark, SF, "nation"), "Nation").select("n_nationkey", "data")
     out = decode(df, "data", "Nation", SET, name="data")

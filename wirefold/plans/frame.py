@@ -3,21 +3,51 @@
 Spark cannot narrow the struct that a Python function returns, so the pruning
 is done before the plan is made: the frame collects the fields that its filters,
 projections, joins and groupings name, decodes their union once, and leaves the
-rest to Spark.  Conditions on ordinary columns move below the decode, so they
-reach the scan and rows that fail them are never decoded.
+rest to Spark.  ``query`` has Spark's own optimizer find the fields, for any
+DataFrame program.  Conditions on ordinary columns move below the decode, so
+they reach the scan and rows that fail them are never decoded.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wirefold import errors
 from wirefold.functions import decode, decoder
-from wirefold.plans.prune import check_paths, required_paths
+from wirefold.plans.prune import check_paths, leaf_paths, required_paths
+from wirefold.sources.scratch import scratch_dir
+
+
+def fields_read(plan: DataFrame, folder: str, name: str) -> T.StructType | None:
+    """What a plan reads of the struct ``name`` of a Parquet folder, as Spark's nested schema pruning has it."""
+    leaves, found = plan._jdf.queryExecution().sparkPlan().collectLeaves(), None
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() != "FileSourceScanExec" or folder not in leaf.relation().location().rootPaths().mkString(","):
+            continue
+        read = T.StructType.fromJson(json.loads(leaf.requiredSchema().json()))
+        if name in read.names:
+            found = read[name].dataType if found is None else merged(found, read[name].dataType)
+    return found
+
+
+def merged(a: T.DataType, b: T.DataType) -> T.DataType:
+    """A type with the fields of both."""
+    if isinstance(a, T.StructType):
+        other = {f.name: f.dataType for f in b.fields}
+        own = [T.StructField(f.name, merged(f.dataType, other[f.name]) if f.name in other else f.dataType, f.nullable) for f in a.fields]
+        return T.StructType([*own, *(f for f in b.fields if f.name not in a.names)])
+    if isinstance(a, T.ArrayType):
+        return T.ArrayType(merged(a.elementType, b.elementType), a.containsNull)
+    if isinstance(a, T.MapType):
+        return T.MapType(a.keyType, merged(a.valueType, b.valueType), a.valueContainsNull)
+    return a
 
 
 class ProtoFrame:
@@ -93,6 +123,29 @@ class ProtoFrame:
             raise errors.IllegalArgument("nothing selected")
         return self._frame([condition, *expressions]).join(other, F.expr(condition), how).selectExpr(*expressions)
 
+    def query(self, program: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """``program`` (joins, aggregates, windows: anything) over the filtered frame, decoding only the fields that it needs.
+
+        The program first runs, as a plan, over a table without rows that has
+        the frame's columns and the whole struct.  From the optimized plan's
+        scan follows which fields are read; these are decoded for the program's
+        real run.  It is called twice and should have no side effects.
+        """
+        schema = T.StructType([*(f for f in self.df.schema.fields if f.name != self.name), T.StructField(self.name, self.full_schema)])
+        spark = self.df.sparkSession
+        folder = f"{scratch_dir(spark)}/stand-in"
+        spark.createDataFrame([], schema).write.parquet(folder)
+        like = spark.read.schema(schema).parquet(folder)
+        for c in self.conditions:
+            like = like.filter(c)
+        read = fields_read(program(like), folder, self.name)
+        # a program that reads no field still has the struct, of one field
+        paths = leaf_paths(read) if read is not None else leaf_paths(self.full_schema)[:1]
+        out = decode(self.df, self.data, **self.how, name=self.name, fields=paths)
+        for c in self.conditions:
+            out = out.filter(c)
+        return program(out)
+
     def decoded(self) -> DataFrame:
         """The frame with the whole struct."""
         return self.select(*[f"`{c}`" for c in self.df.columns if c != self.name], self.name)
@@ -106,4 +159,4 @@ def staged_decode(df: DataFrame, data: str, condition: str, fields: Iterable[str
     return decode(passed, data, **how, name=name, fields=list(fields))
 
 
-__all__ = ["ProtoFrame", "staged_decode"]
+__all__ = ["ProtoFrame", "fields_read", "staged_decode"]

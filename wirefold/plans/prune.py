@@ -65,6 +65,13 @@ def required_paths(schema: T.StructType) -> list[str]:
     return out
 
 
+def leaf_paths(schema: T.StructType) -> list[str]:
+    """Paths of the fields that hold no others."""
+    paths = required_paths(schema)
+    inner = {p.rpartition(".")[0] for p in paths}
+    return [p for p in paths if p not in inner]
+
+
 def check_paths(schema: T.StructType, paths: Iterable[str]) -> None:
     known = set(required_paths(schema))
     for p in paths:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wirefold import errors
@@ -540,6 +541,23 @@ def frame_group(spark, d):
     return f.group(["proto.c_mktsegment AS seg"], n="count(1)", total="round(sum(proto.c_acctbal), 2)")
 
 
+@query(
+    """WITH o AS (SELECT o_orderkey, c_name, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 2 = 0),
+    l AS (SELECT c_mktsegment AS seg, n_name, round(sum(l_quantity), 2) AS qty FROM o JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON n_nationkey = o_orderkey % 25 GROUP BY 1, 2)
+    SELECT seg, n_name, qty, rank() OVER (PARTITION BY seg ORDER BY qty DESC, n_name)::BIGINT AS place FROM l"""
+)
+def frame_program(spark, d):
+    """A join, an explode, an aggregate and a window over messages; the optimizer finds the three fields they need."""
+    nation = table(spark, d, "nation").select("n_nationkey", "n_name")
+
+    def program(m):
+        rows = m.select((F.col("proto.o_orderkey") % 25).alias("n_nationkey"), F.col("proto.customer.c_mktsegment").alias("seg"), F.explode("proto.lines.l_quantity").alias("q"))
+        sums = rows.join(nation, "n_nationkey").groupBy("seg", "n_name").agg(F.round(F.sum("q"), 2).alias("qty"))
+        return sums.withColumn("place", F.rank().over(Window.partitionBy("seg").orderBy(F.desc("qty"), "n_name")).cast("long"))
+
+    return ProtoFrame(orders(spark, d), "data", "Order", binaryDescriptorSet=SET).filter("key % 2 = 0").query(program)
+
+
 # --- encoders with options, descriptors, wire rules --------------------------
 
 
