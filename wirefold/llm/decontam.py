@@ -15,8 +15,8 @@ words), so an occurrence that agrees is not outvoted by others.  Whatever its
 share of the item, ``MIN_RUN`` consecutive words that pass the check do too.
 
 The benchmark may be of any size: documents' windows are first sieved through a
-Bloom filter of the item windows, a bitmap of fixed size; what passes goes
-through an ordinary equi-join on the hash.  Only a fixed bitmap is broadcast.
+Bloom filter of the item windows, a bitmap of bounded size; what passes goes
+through an ordinary equi-join on the hash.  Only that bitmap (at most 8 MB) is broadcast.
 The matches of a document and an item are judged together in one worker.
 
 Windows that more than ``HOT`` items hold (a common instruction line) count
@@ -44,6 +44,7 @@ result; further columns are ignored, whatever their names.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,8 +62,9 @@ MIN_RUN = 13
 MIN_AGREE = 0.8
 #: A window of more items than this is common.
 HOT = 64
-#: Size of the sieve in bits; documents' windows pass by chance with the share of set bits.
-SIEVE_BITS = 1 << 22
+#: Size of the sieve in bits, at least and at most; between them 16 bits for each window of the benchmark.  Documents' windows
+#: pass by chance with the share of set bits.
+SIEVE_BITS = (1 << 22, 1 << 26)
 
 #: Words that are units behind a number.
 UNITS = frozenset(
@@ -157,7 +159,7 @@ def _rows(ids: pa.Array, texts: list, name: str, sieve: np.ndarray | None) -> tu
 
 
 def _passes(hashes: np.ndarray, sieve: np.ndarray) -> np.ndarray:
-    bit = hashes % np.uint64(SIEVE_BITS)
+    bit = hashes % np.uint64(8 * len(sieve))
     return (sieve[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
@@ -188,17 +190,21 @@ def _with_common(items: DataFrame, kind: str) -> DataFrame:
 
 def sieve_of(items: DataFrame) -> np.ndarray:
     """Bitmap of all window hashes; each task sends one bitmap."""
+    size = SIEVE_BITS[0]
+    n = items.count()
+    while size < 16 * n and size < SIEVE_BITS[1]:
+        size *= 2
 
     def run(batches):
-        bits = np.zeros(SIEVE_BITS, bool)
+        bits = np.zeros(size, bool)
         for b in batches:
-            bits[(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(SIEVE_BITS)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["bits"])
+            bits[(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(size)).astype(np.int64)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)], pa.binary())], ["bits"])
 
-    out = np.zeros(SIEVE_BITS // 8, np.uint8)
+    out = np.zeros(size // 8, np.uint8)
     # few tasks, so few bitmaps reach the driver, whatever the benchmark's size
     for r in arrow_map(items.select("h").coalesce(8), run, "bits binary").toLocalIterator():
-        out |= np.frombuffer(r[0], np.uint8)
+        out |= np.frombuffer(zlib.decompress(r[0]), np.uint8)
     return out
 
 
