@@ -268,7 +268,7 @@ def stream_join(spark, d):
 
 
 @query(
-    """WITH e AS (SELECT user_id, value, event_id % 2 AS half FROM events), k AS (SELECT unnest([0, 1]) AS batch)
+    """WITH e AS (SELECT user_id, value, event_id % 2 AS half FROM events), k AS (SELECT unnest([0, 1])::BIGINT AS batch)
     SELECT batch, user_id, count(value) AS n, round(sum(value), 4) AS total, max(value) AS most FROM k JOIN e ON half <= batch
     GROUP BY 1, 2 HAVING count(*) FILTER (WHERE half = batch) > 0"""
 )
