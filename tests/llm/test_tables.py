@@ -16,7 +16,7 @@ from wirefold.llm.common import Scratch, read_table
 NESTED = "x WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\nWARC/1.0\r\n tail"
 PAGES = [
     (1, "http://a/", NESTED), (2, None, None), (3, "u\r\nv", ""), (4, "x", "é" * 1000 + "WARC/1.0\r\n" * 3), (5, "x", NESTED), (None, "n", NESTED), (7, "y", "WARC/1.0\r\n"), (8, "z", "WARC/1.0\r\n\r\n\r\n"),
-    (9, "t", "same"), (9, "t", "same"), *((i, f"u{i}", f"w{i % 40} " * (i % 50)) for i in range(10, 200)),
+    (9, "t", "same"), (9, "t", "same"), (300, "big", "y" * 20_000 + "WARC/1.0\r\n" + "z" * 9_000), (301, "plain", "q" * 30_000), *((i, f"u{i}", f"w{i % 40} " * (i % 50)) for i in range(10, 200)),
 ]
 
 

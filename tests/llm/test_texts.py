@@ -494,6 +494,15 @@ def test_an_occurrence_that_agrees_is_not_outvoted(spark):
     assert got >= {(1, 1), *((d, 2) for d in range(2, 6))}
 
 
+def test_versions_are_judged_each_by_itself(spark):
+    words = [f"w{chr(97 + i)}" for i in range(20)]
+    bench = spark.createDataFrame([(None, " ".join(words))], "item_id long, text string")
+    half = [" ".join(["so", *words[:9], "it"]), " ".join(["so", *words[9:18], "it"])]
+    rows = [(1, half[0]), (1, half[1]), (2, " ".join(half)), *[(None, " ".join(["x", *words]))] * 300, (3, None)]
+    got = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), bench).collect()
+    assert sorted(((r.doc_id, r.item_id) for r in got), key=str) == [(2, None), (None, None)]
+
+
 def test_items_without_a_usable_window_are_found(spark, tmp_path):
     from wirefold.llm.registry import queries
 

@@ -17,7 +17,7 @@ share of the item, ``MIN_RUN`` consecutive words that pass the check do too.
 The benchmark may be of any size: documents' windows are first sieved through a
 Bloom filter of the item windows, a bitmap of bounded size; what passes goes
 through an ordinary equi-join on the hash.  Only that bitmap (at most 8 MB) is broadcast.
-The matches of a document and an item are judged together in one worker.
+The matches of a text and an item are judged together in one worker.
 
 Windows that more than ``HOT`` items hold (a common instruction line) count
 towards ``MIN_COVER`` like any other, but not towards a run, as they are no one
@@ -35,8 +35,8 @@ items, and none if there are none.  ``contaminated`` is both ways together.
 Edge cases: a null or empty text has no windows and no words; an item of one
 word matches every document with that word; a window with fewer than
 ``MIN_PLAIN`` plain words is not used; repeated items each give their own
-rows; rows with the same doc_id are one document; a null doc_id is one document
-id of its own, so is a null item_id; of readings that pass the first is
+rows; rows with the same doc_id are versions of one document, each judged by
+itself; a null doc_id is one document id of its own, so is a null item_id; of readings that pass the first is
 reported; texts of any length are searched whole; empty tables give an empty
 result; further columns are ignored, whatever their names.
 """
@@ -315,11 +315,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: st
     aside = items.where("aside").drop("aside")
     if not aside.isEmpty():
         met = scratch.keep(met, "met")
-        pairs = met.groupBy("_doc", "_item").agg(F.count(F.lit(1)).alias("n")).select(F.col("_doc").alias("_d"), F.col("_item").alias("_i"))
-        more = pairs.join(aside, F.col("_i").eqNullSafe(F.col("_item"))).join(found.withColumnRenamed("h", "_h"), F.col("_d").eqNullSafe(F.col("_doc")) & (F.col("h") == F.col("_h")))
+        pairs = met.groupBy("row", "_item").agg(F.count(F.lit(1)).alias("n")).select("row", F.col("_item").alias("_i"))
+        more = pairs.join(aside, F.col("_i").eqNullSafe(F.col("_item"))).join(found, ["row", "h"])
         met = met.unionByName(more.where(fits).select(columns))
     total = items.groupBy("_item").agg(F.countDistinct("pos").alias("item_windows"))
-    met = met.groupBy("_doc", "_item").agg(F.collect_list(F.struct("row", "pos", "at", "slots", "theirs", "common")).alias("met"))
+    # a text's matches with an item: both are bounded, however many rows an id has
+    met = met.groupBy("row", "_item").agg(F.first("_doc").alias("_doc"), F.collect_list(F.struct("row", "pos", "at", "slots", "theirs", "common")).alias("met"))
     met = met.join(total.withColumnRenamed("_item", "_t"), F.col("_item").eqNullSafe(F.col("_t"))).select("_doc", "_item", "item_windows", "met")
 
     def judge(batches):
@@ -334,7 +335,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: st
             parts = [pa.array([o[k] for o in out], pa.int64()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), parts[0], rows.column(2), parts[1], parts[2]], [key, item, "matched", "item_windows", "slots", "agreeing"])
 
-    return arrow_map(met, judge, f"`{key}` {kind}, `{item}` {item_kind}, matched long, item_windows long, slots long, agreeing long")
+    return _best(arrow_map(met, judge, f"`{key}` {kind}, `{item}` {item_kind}, matched long, item_windows long, slots long, agreeing long"), key, item)
+
+
+def _best(found: DataFrame, key: str, item: str) -> DataFrame:
+    """One row for each document and item."""
+    best = found.groupBy(key, item).agg(F.max(F.struct("item_windows", "matched", "slots", "agreeing")).alias("_best"))
+    return best.select(key, item, *[F.col("_best")[c].alias(c) for c in ("matched", "item_windows", "slots", "agreeing")])
 
 
 # --- items without a usable window -------------------------------------------
@@ -446,9 +453,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
     found, whole = matches(docs, benchmark, key, item, text), whole_matches(docs, benchmark, key, item, text)
     if whole is None:
         return found
-    rest = ["matched", "item_windows", "slots", "agreeing"]
-    best = found.unionByName(whole).groupBy(key, item).agg(F.max(F.struct("item_windows", "matched", "slots", "agreeing")).alias("_best"))
-    return best.select(key, item, *[F.col("_best")[c].alias(c) for c in rest])
+    return _best(found.unionByName(whole), key, item)
 
 
 def op3(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
