@@ -7,7 +7,8 @@ types are named, as literals; it registers a name for each on demand:
     protobuf_sql(spark, "SELECT from_protobuf(data, 'Person', '/path/x.desc').name FROM t")
 
 For plain ``spark.sql`` there is a table function whose schema follows from its
-literal arguments:
+literal arguments (Spark lets no Arrow table function have such an analysis, so
+rows come one by one; they are decoded in blocks):
 
     SELECT * FROM decode_protobuf(TABLE(SELECT * FROM t), 'data', 'Person', '/path/x.desc')
 """
