@@ -90,7 +90,8 @@ def test_sessions_keep_their_settings(spark, monkeypatch):
     before = dict(spark.conf.getAll)
     df = common.bounded(spark.range(3))
     assert df.sparkSession is not spark and common.bounded(df) is df and df.count() == 3
-    assert dict(spark.conf.getAll) == before and type(spark).getActiveSession() is spark
+    assert dict(spark.conf.getAll) == before and type(spark).getActiveSession() is spark and type(spark).builder.getOrCreate() is spark
+    assert spark.sparkContext.parallelize([(1,)]).toDF(["a"]).sparkSession is spark
     assert {k: df.sparkSession.conf.get(k) for k in common.BOUNDS} == common.BOUNDS
     monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
     monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.session import _monkey_patch_RDD
 
 #: Texts are hashed in blocks of about this many bytes (one text may exceed it).
 BLOCK_BYTES = 1 << 20
@@ -28,11 +29,7 @@ def text_session(spark: SparkSession) -> SparkSession:
     if spark.conf.get(_MARK, None):
         return spark
     out = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
-    # the caller's session stays the active and the default one
-    for name in ("_instantiatedSession", "_activeSession"):
-        setattr(SparkSession, name, spark)
-    spark._jvm.org.apache.spark.sql.classic.SparkSession.setDefaultSession(spark._jsparkSession)
-    spark._jvm.org.apache.spark.sql.classic.SparkSession.setActiveSession(spark._jsparkSession)
+    _monkey_patch_RDD(spark)  # RDD.toDF stays with the caller's session
     for k, v in BOUNDS.items():
         out.conf.set(k, v)
     out.conf.set(_MARK, "true")
