@@ -240,10 +240,9 @@ def test_groups_equal_brute_force(spark, monkeypatch, settings):
     assert {tuple(r) for r in jaccard_join.op4(df).collect()} == brute_groups(rows)
 
 
-@pytest.mark.parametrize("hot", [10, 2048])
-def test_documents_that_share_a_template_and_versions(spark, monkeypatch, hot):
+def test_documents_that_share_a_template_and_versions(spark, monkeypatch):
     """Keys with many documents that stay apart, some that link, and ids with several texts."""
-    monkeypatch.setattr(jaccard_join, "HOT", hot)
+    monkeypatch.setattr(jaccard_join, "HOT", 10)
     rng = random.Random(9)
     template = [f"t{i}" for i in range(80)]
     own = lambda n: [f"o{rng.randint(0, 10**9)}" for _ in range(n)]
