@@ -28,10 +28,10 @@ table gives an empty result; further columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from collections.abc import Callable
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,7 @@ from wirefold.llm.common import BLOCK_BYTES, arrow_map, blocks
 
 MARK = "▁"
 #: Bytes of words, ids and their places in the memo that a worker holds; words that were not met lately make room.
-MEMO_BYTES = 96 << 20
+MEMO_BYTES = 160 << 20
 #: What an entry costs besides its characters and ids.
 ENTRY = 190
 #: Words of more characters are cut further and not remembered.
@@ -98,9 +98,9 @@ class Vocabulary:
         else:
             # a symbol is word[i : ends[i]]; of a symbol that is merged into the one before it the end is 0
             ends, before = list(range(1, n + 1)), list(range(-1, n - 1))
-            heapq.heapify(agenda)
+            heapify(agenda)
             while agenda:
-                top = heapq.heappop(agenda)
+                top = heappop(agenda)
                 i = top & 0xFFFFFFFF
                 j = ends[i]
                 if not j or j >= n:
@@ -113,12 +113,12 @@ class Vocabulary:
                     before[k] = i
                     rank = get(word[i : ends[k]])
                     if rank is not None:
-                        heapq.heappush(agenda, rank << 32 | i)
+                        heappush(agenda, rank << 32 | i)
                 h = before[i]
                 if h >= 0:
                     rank = get(word[h:k])
                     if rank is not None:
-                        heapq.heappush(agenda, rank << 32 | h)
+                        heappush(agenda, rank << 32 | h)
         out: list[int] = []
         i, ids = 0, self.ids
         while i < n:
