@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -24,5 +25,6 @@ def ship(spark) -> None:
         return
     _shipped.add(app)
     folder = tempfile.mkdtemp(prefix="wirefold-zip-")
+    # the driver serves this file to executors as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/wirefold", "zip", _ROOT, "wirefold"))
-    shutil.rmtree(folder, ignore_errors=True)
