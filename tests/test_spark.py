@@ -146,6 +146,11 @@ def test_decode_replaces_a_column_of_its_name(spark):
     assert [r.proto for r in decode(bad, "data", "Nation", SET, {"mode": "PERMISSIVE"}).collect()] == [None, None]
 
 
+def test_sql_on_demand_broadcasts_no_decoded_side(spark):
+    plan = QUERIES["sql_on_demand"](spark, SF)._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_sql_on_demand_wants_literals(spark):
     from wirefold.functions.sql import protobuf_sql
 
