@@ -50,6 +50,20 @@ def test_query_equals_oracle(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+def against_oracle(spark, folder, name, **tables):
+    """A query's rows over tables given as SQL, held against its oracle's."""
+    con = duckdb.connect()
+    for t, sql in tables.items():
+        con.execute(f"CREATE TABLE {t} AS {sql}")
+        con.execute(f"COPY {t} TO '{folder}/{t}.parquet' (FORMAT parquet)")
+    assert rows(QUERIES[name](spark, str(folder)).toPandas()) == rows(con.execute(ORACLE[name]).df())
+
+
+def test_long_strings_keeps_empty_texts(spark, tmp_path):
+    documents = "SELECT * FROM (VALUES (0, ''), (1, NULL), (2, 'one'), (NULL, 'two'), (NULL, NULL)) AS t(doc_id, text)"
+    against_oracle(spark, tmp_path, "long_strings", documents=f"SELECT doc_id::BIGINT AS doc_id, text FROM ({documents})", labels="SELECT 0::BIGINT AS doc_id, 1::INTEGER AS quality")
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
