@@ -64,6 +64,16 @@ def test_long_strings_keeps_empty_texts(spark, tmp_path):
     against_oracle(spark, tmp_path, "long_strings", documents=f"SELECT doc_id::BIGINT AS doc_id, text FROM ({documents})", labels="SELECT 0::BIGINT AS doc_id, 1::INTEGER AS quality")
 
 
+def test_sessions_hold_every_event(spark, tmp_path):
+    # gaps of exactly two hours and one millisecond less, equal times; no user beside user 0; no time; before 1970
+    found = """(VALUES
+        (1, TIMESTAMP '2024-03-01 00:00:00', 7), (2, TIMESTAMP '2024-03-01 02:00:00', 7), (3, TIMESTAMP '2024-03-01 03:59:59.999', 7), (4, TIMESTAMP '2024-03-01 03:59:59.999', 7),
+        (5, TIMESTAMP '2024-03-01 05:59:59.9985', 7), (6, TIMESTAMP '2024-03-01 05:59:59.999001', 7),
+        (7, TIMESTAMP '2024-03-01 00:00:00', NULL), (8, TIMESTAMP '2024-03-01 00:00:01', 0), (9, TIMESTAMP '2024-03-01 00:00:02', NULL),
+        (10, NULL, 7), (11, NULL, 7), (12, NULL, NULL), (13, TIMESTAMP '1965-01-01 00:00:00.0005', 8), (14, TIMESTAMP '1969-12-31 23:00:00', 8), (15, TIMESTAMP '1970-01-01 00:30:00', 8)) AS t(event_id, ts, user_id)"""
+    against_oracle(spark, tmp_path, "stream_session", events=f"SELECT event_id::BIGINT AS event_id, ts, user_id::BIGINT AS user_id, 'view' AS event_type, 1.5::DOUBLE AS value FROM {found}")
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -67,7 +67,7 @@ SET = define(
         "ChoiceLoose": [("id", 1, "int64"), ("name", 2, "optional string"), ("number", 3, "optional int32")],
         "Vector": [("vec_id", 1, "int64"), ("embedding", 2, "repeated float"), ("label", 3, "optional int32")],
         "Document": [("doc_id", 1, "optional int64"), ("text", 2, "optional string"), ("raw", 3, "optional bytes"), ("quality", 4, "optional int32")],
-        "Event": [("event_id", 1, "int64"), ("ts", 2, STAMP), ("user_id", 3, "int64"), ("event_type", 4, "string"), ("value", 5, "optional double")],
+        "Event": [("event_id", 1, "int64"), ("ts", 2, STAMP), ("user_id", 3, "optional int64"), ("event_type", 4, "string"), ("value", 5, "optional double")],
         "Parts": [("packed", 1, "packed int64")],
         "PartsLoose": [("packed", 1, "unpacked int64")],
     },

@@ -36,10 +36,19 @@ def windowed(stream: DataFrame, time: str, width: str, *keys: str, slide: str |
     return grouped.select(F.col("w.start").alias("window_start"), *keys, *aggregates)
 
 
-def sessions(stream: DataFrame, time: str, gap: str, *keys: str, late: str = "10 minutes", **aggregates: Column) -> DataFrame:
-    """Session window aggregates with a watermark; columns session_start, session_end, keys, aggregates."""
-    grouped = stream.withWatermark(time, late).groupBy(F.session_window(F.col(time), gap).alias("w"), *keys).agg(*[c.alias(n) for n, c in aggregates.items()])
-    return grouped.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *keys, *aggregates)
+def sessions(stream: DataFrame, time: str, gap: str, *keys: str, late: str | None = "10 minutes", **aggregates: Column) -> DataFrame:
+    """Session window aggregates with a watermark; columns session_start, session_end, keys, aggregates.
+
+    A session ends ``gap`` after its last row, and a row at that very instant
+    opens a new one (Spark's own session windows join such rows).  Rows without
+    a time are in no session.  Without ``late`` there is no watermark: for
+    "complete" mode, where Spark else drops rows before 1970, as its first
+    watermark, and late rows of later batches.
+    """
+    rows = stream if late is None else stream.withWatermark(time, late)
+    grouped = rows.groupBy(F.session_window(F.col(time), f"{gap} -1 microsecond").alias("w"), *keys).agg(*[c.alias(n) for n, c in aggregates.items()])
+    end = F.col("w.end") + F.expr("INTERVAL 1 MICROSECOND")
+    return grouped.select(F.col("w.start").alias("session_start"), end.alias("session_end"), *keys, *aggregates)
 
 
 def matched(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, within: str, *, late: str = "10 minutes", how: str = "inner") -> DataFrame:
